@@ -37,9 +37,11 @@ from weftgraph.llm.common import column, cut, table
 CUT_BITS, LEAST, MOST = 11, 128, 8192
 WINDOW = 16
 #: The dictionary's bound, in characters of chunks, and its least number of occurrences.
-DICTIONARY_CHARS, DICTIONARY_COUNT = 16_000_000, 3
+DICTIONARY_CHARS, DICTIONARY_COUNT = 8_000_000, 3
 #: Chunks that a task keeps.
-STORE_CHUNKS = 20_000
+STORE_CHUNKS = 10_000
+#: How ids are packed in the dictionary.
+ID = np.dtype("<u4")
 #: Runs without white space above this go to the slower library, whose merging stays fast on them.
 LONG_RUN = 4096
 
@@ -143,16 +145,18 @@ def core(chunk: str) -> tuple[int, int] | None:
 
 
 class Reader:
-    """Encodes texts by chunks. ``shared`` has ids of chunk cores; more are kept up to a bound."""
+    """Encodes texts by chunks. ``shared`` has packed ids of chunk cores; more are kept up to a bound."""
 
-    def __init__(self, tokens: Codec, shared: dict[bytes, list[int]]) -> None:
+    def __init__(self, tokens: Codec, shared: dict[bytes, bytes]) -> None:
         self.tokens, self.shared, self.store = tokens, shared, OrderedDict()
         self.reused = 0
 
     def ids_of(self, chunk: str, inner: tuple[int, int]) -> list[int]:
         key = chunk_key(chunk)
-        ids = self.shared.get(key) or self.store.get(key)
-        if ids is not None:
+        if (packed := self.shared.get(key)) is not None:
+            self.reused += 1
+            return np.frombuffer(packed, ID).tolist()
+        if (ids := self.store.get(key)) is not None:
             self.reused += 1
             return ids
         ids = self.store[key] = self.tokens.encode(chunk[inner[0] : inner[1]])
@@ -193,7 +197,7 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(work, "key binary, chars long, n long").groupBy("key", "chars").agg(F.sum("n").alias("n"))
 
 
-def dictionary(docs: DataFrame, path: str, chars: int = DICTIONARY_CHARS) -> dict[bytes, list[int]]:
+def dictionary(docs: DataFrame, path: str, chars: int = DICTIONARY_CHARS) -> dict[bytes, bytes]:
     """The ids of the most repeated chunks, each encoded once; ``chars`` bounds their text and so the dictionary.
 
     Chunks beyond the bound are encoded where they are read: the bound changes the work, never the ids.
@@ -222,13 +226,13 @@ def dictionary(docs: DataFrame, path: str, chars: int = DICTIONARY_CHARS) -> dic
         tokens = codec(path)
         for batch in batches:
             pairs = [(k.as_py(), x[i[0] : i[1]]) for k, c in zip(batch["key"], batch["chunk"], strict=True) if (i := core(x := c.as_py()))]
-            yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in pairs], pa.binary()), "ids": pa.array([tokens.encode(x) for _, x in pairs], pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in pairs], pa.binary()), "ids": pa.array([np.array(tokens.encode(x), ID).tobytes() for _, x in pairs], pa.binary())})
 
     if not wanted.value:
         return {}
     chunks = docs.select("text").mapInArrow(work, "key binary, chunk string").groupBy("key").agg(F.first("chunk").alias("chunk"))
-    found = chunks.mapInArrow(encode, "key binary, ids array<int>").toArrow()
-    return {k: np.asarray(v, np.int32).tolist() for k, v in zip(found["key"].to_pylist(), found["ids"].to_pylist(), strict=True)}
+    found = chunks.mapInArrow(encode, "key binary, ids binary").toArrow()
+    return dict(zip(found["key"].to_pylist(), found["ids"].to_pylist(), strict=True))
 
 
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
