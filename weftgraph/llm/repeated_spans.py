@@ -371,23 +371,37 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spread_starts(contexts: DataFrame) -> DataFrame:
-    """The later starts of common anchors' contexts, compared string by string over all tasks."""
+    """The later starts of common anchors' contexts, compared string by string over all tasks.
+
+    Strings that a batch has before are settled there, so a common one sends a row per batch.
+    """
     import xxhash
 
     def strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, ord_, seal, start = [], [], [], []
+            firsts: dict[bytes, tuple[int, int, int]] = {}
+            later: list[tuple[int, int, int]] = []
             for o, s, at, n, data in zip(*(batch[c].to_pylist() for c in ("ord", "seal", "start", "n", "bytes")), strict=True):
-                digests += [xxhash.xxh3_128_digest(data[i : i + LENGTH]) for i in range(n)]
-                ord_ += [o] * n
-                seal += [s] * n
-                start += range(at, at + n)
-            yield pa.RecordBatch.from_pydict({"string": pa.array(digests, pa.binary()), "ord": pa.array(ord_, pa.int64()), "seal": pa.array(seal, pa.int64()), "start": pa.array(start, pa.int32())})
-
-    each = contexts.mapInArrow(strings, "string binary, ord long, seal long, start int")
-    firsts = each.groupBy("string").agg(F.min(F.struct("ord", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+                for i in range(n):
+                    key, place = xxhash.xxh3_128_digest(data[i : i + LENGTH]), (o, at + i, s)
+                    held = firsts.get(key)
+                    if held is None:
+                        firsts[key] = place
+                    elif place[:2] == held[:2]:  # one place, in texts under one id
+                        firsts[key + b"%d" % len(firsts)] = place
+                    else:
+                        firsts[key], place = min(held, place), max(held, place)
+                        later.append(place)
+            ends = np.array(later, np.int64).reshape(-1, 3)
+            ranges = _ranges(ends[:, 0], ends[:, 2], ends[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.nulls(ranges.num_rows, pa.binary()), *ranges.columns], names=["string", *ranges.schema.names])
+            o, at, s = zip(*firsts.values(), strict=True) if firsts else ((), (), ())
+            yield pa.RecordBatch.from_pydict({"string": pa.array([k[:16] for k in firsts], pa.binary()), "ord": pa.array(o, pa.int64()), "seal": pa.array(s, pa.int64()), "start": pa.array(at, pa.int32()), "n": pa.array([1] * len(o), pa.int32())})
+
+    each = cut(contexts.mapInArrow(strings, "string binary, ord long, seal long, start int, n int"))
+    firsts = each.where("string is not null").groupBy("string").agg(F.min(F.struct("ord", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     later = each.join(firsts, "string").where((F.col("ord") != F.col("first.ord")) | (F.col("start") != F.col("first.start")))
-    return later.select("ord", "seal", "start", F.lit(1).alias("n"))
+    return each.where("string is null").drop("string").union(later.select("ord", "seal", "start", "n"))
 
 
 def remove(docs: DataFrame, found: DataFrame, keep_text: bool = False) -> DataFrame:
