@@ -181,8 +181,20 @@ def equal_strings(contexts: list[bytes], starts: np.ndarray) -> tuple[np.ndarray
 
 # ---- the Spark jobs ----
 
-RUN_SCHEMA = pa.schema([("deal", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("ord", pa.int64()), ("seal", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("state", pa.int32())])
-RUN_DDL = "deal long, anchor long, context long, ord long, seal long, start int, n int, state int"
+# A run's start (31 bits), its text's seal (24), its starts (7, at most LENGTH - GRAM + 1) and state (2) in one number:
+# runs are the bulk of what is shuffled.
+SEAL_BITS, N_BITS, STATE_BITS = 24, 7, 2
+RUN_DDL = "anchor long, context long, ord long, packed long"
+
+
+def pack(start: np.ndarray, seal: np.ndarray, n: np.ndarray, state: np.ndarray) -> np.ndarray:
+    return (((start << SEAL_BITS | seal) << N_BITS | n) << STATE_BITS) | state
+
+
+def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, seal, n, state)"""
+    rest = packed >> STATE_BITS
+    return packed >> (SEAL_BITS + N_BITS + STATE_BITS), rest >> N_BITS & ((1 << SEAL_BITS) - 1), rest & ((1 << N_BITS) - 1), packed & ((1 << STATE_BITS) - 1)
 
 
 def _digests(data: bytes, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -193,9 +205,9 @@ def _digests(data: bytes, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _sealed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Ids in their order, texts, and a hash that tells apart texts under one id."""
+    """Ids in their order, texts, and a hash of SEAL_BITS that tells apart the few texts under one id."""
     picked = docs.select(column(docs, key, "long").alias("doc_id"), F.coalesce(column(docs, text, "string"), F.lit("")).alias("text"))
-    return picked.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("ord"), F.xxhash64("text").alias("seal"), "text")
+    return picked.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("ord"), F.pmod(F.xxhash64("text"), F.lit(1 << SEAL_BITS)).alias("seal"), "text")
 
 
 def common_anchors(docs: DataFrame) -> np.ndarray:
@@ -217,7 +229,7 @@ def common_anchors(docs: DataFrame) -> np.ndarray:
 
 
 def run_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """A row for each run, with the number that deals it; equal contexts within a batch keep their first run open."""
+    """A row for each run; equal contexts within a batch keep only their first run open."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,17 +242,16 @@ def run_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
                     c.append(v)
             anchor, context, ord_, seal, start, n = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
             by = np.lexsort((start, ord_, context, anchor))
-            anchor, context, ord_, seal, start, n = (v[by] for v in (anchor, context, ord_, seal, start, n))
+            same = lambda x: x[by][1:] == x[by][:-1]
             again = np.zeros(len(by), bool)
-            again[1:] = (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1])
+            again[1:] = same(anchor) & same(context)
             # rows at the very place of a context's first one do not come after it
-            first = np.maximum.accumulate(np.where(again, 0, np.arange(len(by)))) if len(by) else by
-            settled = again & ((ord_ != ord_[first]) | (start != start[first]))
-            spread = np.isin(anchor, shared.value)
-            state = np.where(settled, SETTLED, np.where(spread, SPREAD, PLAIN)).astype(np.int32)
-            mixed = (anchor ^ (context * np.int64(-7046029254386353131))) if len(by) else anchor
-            deal = np.where(settled, seal ^ start, np.where(spread, mixed, anchor))
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (deal, anchor, context, ord_, seal, start.astype(np.int32), n.astype(np.int32), state)], schema=RUN_SCHEMA)
+            first = by[np.maximum.accumulate(np.where(again, 0, np.arange(len(by))))] if len(by) else by
+            settled = np.zeros(len(by), bool)
+            settled[by] = again & ((ord_[by] != ord_[first]) | (start[by] != start[first]))
+            state = np.where(settled, SETTLED, np.where(np.isin(anchor, shared.value), SPREAD, PLAIN))
+            # in the order of the documents, where neighbours compress well
+            yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor), "context": pa.array(context), "ord": pa.array(ord_), "packed": pa.array(pack(start, seal, n, state))})
 
     return docs.select("ord", "seal", "text").mapInArrow(work, RUN_DDL)
 
@@ -270,15 +281,15 @@ def _judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        cols = {c: batch[c].to_numpy() for c in ("anchor", "context", "ord", "seal", "start", "n", "state")}
-        a, c, state = cols["anchor"], cols["context"], cols["state"]
+        a, c, ord_ = (batch[x].to_numpy() for x in ("anchor", "context", "ord"))
+        start, seal, n, state = unpack(batch["packed"].to_numpy())
         settled = state == SETTLED
         # an anchor's only row, the usual case, needs no look
         lone = np.zeros(len(a), bool)
         if len(a) > 2:
             lone[1:-1] = (a[1:-1] != a[:-2]) & (a[1:-1] != a[2:]) & (state[1:-1] == PLAIN)
         for i in np.flatnonzero(~lone).tolist():
-            row = (int(cols["ord"][i]), int(cols["seal"][i]), int(cols["start"][i]), int(cols["n"][i]), int(a[i]))
+            row = (int(ord_[i]), int(seal[i]), int(start[i]), int(n[i]), int(a[i]))
             if settled[i]:
                 out.append((*row, SETTLED))
                 continue
@@ -307,8 +318,11 @@ def _judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def judged(rows: DataFrame) -> DataFrame:
     """(ord, seal, start, n, anchor, state) of settled and open runs."""
-    dealt = rows.repartition("deal").sortWithinPartitions(F.col("state") == SETTLED, "anchor", "context", "ord", "start")
-    return dealt.drop("deal").mapInArrow(_judged, "ord long, seal long, start int, n int, anchor long, state int")
+    state = F.col("packed").bitwiseAND((1 << STATE_BITS) - 1)
+    deal = F.when(state == PLAIN, F.col("anchor")).otherwise(F.xxhash64("anchor", "context", F.when(state == SETTLED, F.col("ord"))))
+    # the start is in the high bits of what is packed
+    dealt = rows.repartition(deal).sortWithinPartitions(state == SETTLED, "anchor", "context", "ord", "packed")
+    return dealt.mapInArrow(_judged, "ord long, seal long, start int, n int, anchor long, state int")
 
 
 def contexts_of(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
