@@ -24,7 +24,7 @@ def numbered(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.withColumn("new$n", F.monotonically_increasing_id()).checkpoint()
+    return df.withColumn("row#", F.monotonically_increasing_id()).checkpoint()
 
 
 def _evaluated(rows: Rows, properties: dict) -> dict[str, Column]:
@@ -79,13 +79,13 @@ def create_node(rows: Rows, variable: str, label: str, properties: dict) -> Rows
     made = _evaluated(rows, properties)
     graph, first = _next_node(rows.graph, label)
     df = numbered(rows.df.withColumns({f"new${k}": c for k, c in made.items()}) if made else rows.df)
-    df = df.withColumn("new$id", F.lit(first) + F.col("new$n"))
-    new = df.select(F.col("new$id").alias("id"), *[F.col(f"new${k}").alias(k) for k in made])
+    df = df.withColumn("made#", F.lit(first) + F.col("row#"))
+    new = df.select(F.col("made#").alias("id"), *[F.col(f"new${k}").alias(k) for k in made])
     table = _appended(graph.nodes[label].df, new, label or "node")
     graph = graph.with_nodes(label, table)
     graph.check([label])
     rows = _without(replace(rows, df=df), variable)
-    df = rows.df.drop("new$n").withColumnRenamed("new$id", f"{variable}$id").withColumn(f"{variable}$label", F.lit(label))
+    df = rows.df.drop("row#").withColumnRenamed("made#", f"{variable}$id").withColumn(f"{variable}$label", F.lit(label))
     types = {f.name: f.dataType for f in table.schema.fields}
     df = df.withColumns({f"{variable}${c}": (F.col(f"new${c}") if c in made else F.lit(None)).cast(types[c]) for c in graph.nodes[label].properties}).drop(*[f"new${k}" for k in made])
     return rows.bind(df, variable, Bound(NODE, label, tuple(graph.nodes[label].properties)), graph)
@@ -103,15 +103,15 @@ def create_edge(rows: Rows, start: str, type_: str, end: str, properties: dict,
     same_type = [e.df for e in rows.graph.edges if e.type == type_ and e.df is not None]
     most = reduce(DataFrame.union, [d.select("id") for d in same_type]).agg(F.max("id")).first()[0] if same_type else None
     df = numbered(rows.df.withColumns({f"new${k}": c for k, c in made.items()}) if made else rows.df)
-    df = df.withColumn("new$id", F.lit(0 if most is None else most + 1) + F.col("new$n")).drop("new$n")
-    new = df.select(F.col("new$id").alias("id"), F.col(f"{start}$id").alias("src"), F.col(f"{end}$id").alias("dst"), *[F.col(f"new${k}").alias(k) for k in made])
+    df = df.withColumn("made#", F.lit(0 if most is None else most + 1) + F.col("row#")).drop("row#")
+    new = df.select(F.col("made#").alias("id"), F.col(f"{start}$id").alias("src"), F.col(f"{end}$id").alias("dst"), *[F.col(f"new${k}").alias(k) for k in made])
     base = have.df if have else new.limit(0)
     graph = rows.graph.with_edges(type_, _appended(base, new, type_), src, dst)
     if edge:
         rows = _without(replace(rows, df=df), edge)
-        df = rows.df.withColumns({f"{edge}$id": F.col("new$id"), f"{edge}$type": F.lit(type_), f"{edge}$src": F.col(f"{start}$id"), f"{edge}$dst": F.col(f"{end}$id"), **{f"{edge}${k}": F.col(f"new${k}") for k in made}})
+        df = rows.df.withColumns({f"{edge}$id": F.col("made#"), f"{edge}$type": F.lit(type_), f"{edge}$src": F.col(f"{start}$id"), f"{edge}$dst": F.col(f"{end}$id"), **{f"{edge}${k}": F.col(f"new${k}") for k in made}})
         rows = rows.bind(df, edge, Bound(EDGE, type_, tuple(made)), graph)
-    return replace(rows, df=df.drop("new$id", *[f"new${k}" for k in made]), graph=graph, started=True)
+    return replace(rows, df=df.drop("made#", *[f"new${k}" for k in made]), graph=graph, started=True)
 
 
 def merge_node(rows: Rows, variable: str, label: str, properties: dict) -> Rows:
@@ -120,7 +120,7 @@ def merge_node(rows: Rows, variable: str, label: str, properties: dict) -> Rows:
     graph, first = _next_node(rows.graph, label)
     table = graph.nodes[label]
     names = [f"new${k}" for k in made]
-    rows = replace(rows, df=numbered(rows.df).drop("new$n"))
+    rows = replace(rows, df=numbered(rows.df).drop("row#"))
     wanted = rows.df.select(*names).distinct()
     types = {f.name: f.dataType for f in table.df.schema.fields}
     fits = all(k in types and kind(types[k]) == kind(wanted.schema[f"new${k}"].dataType) for k in made)
@@ -131,7 +131,7 @@ def merge_node(rows: Rows, variable: str, label: str, properties: dict) -> Rows:
     else:
         keyed = wanted.withColumn("found", F.lit(None).cast("long"))
     keyed = numbered(keyed)
-    keyed = keyed.withColumn("to$id", F.coalesce("found", F.lit(first) + F.col("new$n")))
+    keyed = keyed.withColumn("to$id", F.coalesce("found", F.lit(first) + F.col("row#")))
     new = keyed.where("found is null").select(F.col("to$id").alias("id"), *[F.col(f"new${k}").alias(k) for k in made])
     graph = graph.with_nodes(label, _appended(table.df, new, label or "node"))
     graph.check([label])
@@ -151,7 +151,7 @@ def set_property(rows: Rows, variable: str, key: str, value) -> Rows:
         raise PlanError(f"{variable!r} has no one label or type: bind it with one to set its properties")
     new = _evaluated(rows, {key: value})[key]
     order = [F.col(f"{x}$id") if b.kind == NODE else -F.col(f"{x}$id") for x, b in rows.bound.items()]
-    last = numbered(rows.df.select(F.col(f"{variable}$id").alias("set$id"), new.alias("set$value"), F.struct(*order).alias("set$at")).groupBy("set$id").agg(F.max_by("set$value", "set$at").alias("set$value"))).drop("new$n")
+    last = numbered(rows.df.select(F.col(f"{variable}$id").alias("set$id"), new.alias("set$value"), F.struct(*order).alias("set$at")).groupBy("set$id").agg(F.max_by("set$value", "set$at").alias("set$value"))).drop("row#")
 
     def written(df: DataFrame, id_: str, column: str) -> DataFrame:
         t = last.schema["set$value"].dataType
@@ -191,12 +191,12 @@ def delete(rows: Rows, variables: tuple[str, ...], detach: bool) -> Rows:
     ids = lambda kind_: [rows.df.select(F.col(f"{x}$id").alias("gone"), (F.lit(None).cast("string") if kind_ == NODE else F.col(f"{x}$type")).alias("type")) for x in variables if rows.bound[x].kind == kind_]
     edges, nodes = ids(EDGE), ids(NODE)
     if edges:
-        gone = numbered(reduce(DataFrame.union, edges).distinct()).drop("new$n")
+        gone = numbered(reduce(DataFrame.union, edges).distinct()).drop("row#")
         for e in graph.edges:
             own = gone.where(F.col("type") == e.type).select("gone")
             graph = _edges_without(graph, e, lambda d, own=own: d.join(own, d["id"] == own["gone"], "left_anti"), lambda h, own=own: h.join(own.withColumn("hit", F.lit(True)), F.col("id") == F.col("gone"), "left").drop("gone"))
     if nodes:
-        gone = numbered(reduce(DataFrame.union, nodes).select("gone").distinct()).drop("new$n")
+        gone = numbered(reduce(DataFrame.union, nodes).select("gone").distinct()).drop("row#")
         if not detach:
             ends = graph.scan_edges().select(F.explode(F.array("src", "dst")).alias("gone"))
             if gone.join(ends, "gone", "left_semi").take(1):
