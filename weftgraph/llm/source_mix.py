@@ -25,6 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 16
 #: Words of a shard, about: a shard's rows are ordered within one task.
 SHARD_WORDS = 1 << 21
+#: Up to so many sources, their few numbers each (some 100 bytes) are sent to every task; above, documents join them by shuffle.
+SENT_SOURCES = 100_000
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 
@@ -96,11 +98,13 @@ def mix(docs: DataFrame, seed: int = 0, key: str = "doc_id", text: str = "text",
     named = aimed.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     seats = named.select("name", F.col("target").alias("votes"), F.round(F.sum("target").over(Window.partitionBy()) / BLOCK).cast("long").alias("seats"), (2 * F.ceil(F.col("source_size") / BLOCK)).cast("long").alias("bound"))
     sources = apportion(seats, [], ["name"]).select("name", F.col("blocks").alias("seats"))
-    # a source's facts go to its documents by name; there is one row a source
     of = named.select("name", "source_size", "target", F.greatest(ways, F.lit(1).cast("long")).alias("ways"))
+    of = F.broadcast(of) if aimed.count() <= SENT_SOURCES else of
+    # dealt by shard, not left where a join by source put them: one source may have a third of all rows
     dealt = (
         sized.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).join(of, "name")
         .withColumn("shard", F.pmod(F.conv(F.substring("draw", 1, 12), 16, 10).cast("long"), F.col("ways")))
+        .repartition("name", "shard")
     )
     shards = dealt.groupBy("name", "shard").agg(F.sum("size").alias("votes")).join(sources, "name")
     quotas = apportion(shards.withColumn("bound", (2 * F.ceil(F.col("votes") / BLOCK)).cast("long")), ["name"], ["shard"])
