@@ -134,3 +134,38 @@ def mixed(docs: DataFrame, seed: int = 0, key: str = "doc_id", text: str = "text
 
 def op3_source_mix(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
+
+
+# The same shares by highest quotients, block by block. Sources here have at most one shard each,
+# which holds below SHARD_WORDS words a source.
+OP3_SQL = rf"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('0:' || coalesce(doc_id::VARCHAR, 'null')) AS draw FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1)::INTEGER % 3 + 1]::DOUBLE AS weight FROM sized GROUP BY source
+), leveled AS (
+  SELECT *, {MOST} * source_size AS bound,
+    ({SHARE} * sum(source_size) OVER () - coalesce(sum({MOST} * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM sources WINDOW o AS (ORDER BY {MOST} * source_size / weight, source NULLS LAST)
+), aimed AS (
+  SELECT source, source_size, least(bound, weight * coalesce((SELECT min_by(level, bound / weight) FROM leveled WHERE bound / weight > level), 1e300))::DOUBLE AS target FROM leveled
+), seats AS (SELECT round(sum(target) / {BLOCK})::BIGINT AS n FROM aimed),
+offers AS (
+  SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, CASE WHEN source IS NULL THEN '' ELSE '=' || source END, k) AS nth
+  FROM aimed, unnest(range((target / {BLOCK})::BIGINT + 30)) AS t(k) WHERE target > 0
+), quotas AS (
+  SELECT a.source, a.source_size, a.target, least(coalesce(w.n, 0), 2 * ceil(a.source_size / {BLOCK}))::BIGINT AS quota, ceil(a.source_size / {BLOCK})::BIGINT AS blocks,
+    ('0x' || substr(md5('turn0:' || CASE WHEN a.source IS NULL THEN '' ELSE '=' || a.source END || ':0'), 1, 8))::BIGINT AS draw
+  FROM aimed a LEFT JOIN (SELECT source, count(*) AS n FROM offers WHERE nth <= (SELECT n FROM seats) GROUP BY source) w ON a.source IS NOT DISTINCT FROM w.source
+), placed AS (
+  SELECT s.doc_id, s.source, s.size, q.source_size, q.target, q.quota, q.blocks, CASE WHEN q.blocks > 0 THEN q.draw % q.blocks END AS turn,
+    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.draw, s.doc_id, s.size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+  FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source
+), counted AS (
+  SELECT *, ((upto // {BLOCK} + turn) * quota // blocks - turn * quota // blocks) * {BLOCK} + ((upto // {BLOCK} + 1 + turn) * quota // blocks - (upto // {BLOCK} + turn) * quota // blocks) * (upto % {BLOCK})
+    - ((upto - size) // {BLOCK} + turn) * quota // blocks * {BLOCK} + turn * quota // blocks * {BLOCK}
+    - (((upto - size) // {BLOCK} + 1 + turn) * quota // blocks - ((upto - size) // {BLOCK} + turn) * quota // blocks) * ((upto - size) % {BLOCK}) AS got
+  FROM placed
+)
+SELECT doc_id, size, source_size, target, coalesce(got, 0)::BIGINT AS taken, source FROM counted
+"""

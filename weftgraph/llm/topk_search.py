@@ -186,3 +186,16 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_id
 
 def op7_topk_search(spark, sf_dir):
     return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = f"""
+WITH usable AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.r AS r, q.vec_id AS query_id, v.vec_id AS vec_id, list_inner_product(q.x, v.x)::BIGINT AS score
+  FROM usable q JOIN usable v ON q.r <> v.r WHERE q.vec_id % {EVERY} = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= {K}
+"""
