@@ -29,6 +29,11 @@ BITS = 64
 SEED = 42
 #: Hashes whose bits are unpacked at once.
 PIECE = 1 << 16
+#: A stage's near duplicates: words of a shingle, least similarity, hashes of a sketch; fingerprints of distinct words and their bits.
+SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 128
+TABLES, TABLE_BITS = 5, 48
+SHINGLE_PRINT = 3
+LAST_ID = (1 << 63) - 1
 
 
 def shingle_hashes(text: str, n: int) -> Iterator[np.ndarray]:
@@ -70,9 +75,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: s
     return picked.mapInArrow(work, "doc_id long, print long")
 
 
-def flips(radius: int) -> list[int]:
+def flips(radius: int, bits: int = BITS) -> list[int]:
     """What turns a fingerprint into each variant within ``radius`` bits, as signed longs."""
-    masks = [sum(1 << b for b in at) for r in range(radius + 1) for at in combinations(range(BITS), r)]
+    masks = [sum(1 << b for b in at) for r in range(radius + 1) for at in combinations(range(bits), r)]
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
@@ -124,10 +129,83 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str
     return printed.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, one row an id."""
-    kept = near_duplicates(docs, shingle, radius, key, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(F.col("kept_id"))).drop("kept_id").dropDuplicates([key])
+# ---- one document of each group, for a stage that removes near duplicates ----
+
+
+def described(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, exact, print, tables, sketch) of each text, words as above.
+
+    ``exact`` names the word sequence, ``print`` is the fingerprint of SHINGLE_PRINT-word
+    shingles, ``tables`` holds TABLES fingerprints of TABLE_BITS bits of the distinct words, and
+    ``sketch`` the SKETCH smallest hashes of the distinct SHINGLE-word shingles.
+    """
+    import xxhash
+
+    def one(text: str | None) -> tuple[int, int, list[int], bytes]:
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        wide = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, s) for s in (1, 2) for w in sorted({*words})), np.uint8)
+        bits = np.zeros(256, bool)
+        if len(wide):
+            half = wide.reshape(2, -1, 16)
+            bits = np.concatenate([np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int64) * 2 > len(h) for h in half])
+        tables = [int.from_bytes(np.packbits(bits[t * TABLE_BITS : (t + 1) * TABLE_BITS]).tobytes(), "big") for t in range(TABLES)]
+        hashes = [(h >> np.uint64(32)).astype(np.uint32) for h in shingle_hashes(text or "", SHINGLE)]
+        least = np.unique(np.concatenate(hashes))[:SKETCH] if hashes else np.zeros(0, np.uint32)
+        return xxhash.xxh3_64_intdigest(b" ".join(words)), fingerprint(text, SHINGLE_PRINT), tables, least.tobytes()
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            exact, prints, tables, sketch = zip(*map(one, batch["text"].to_pylist()), strict=True) if batch.num_rows else ((),) * 4
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch["doc_id"], "exact": pa.array(np.array(exact, np.uint64).view(np.int64)), "print": pa.array(np.array(prints, np.uint64).view(np.int64)),
+                "tables": pa.array(tables, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary()),
+            })
+
+    picked = docs.select(column(docs, key, "long").alias("doc_id"), column(docs, text, "string").alias("text"))
+    return picked.mapInArrow(work, "doc_id long, exact long, print long, tables array<long>, sketch binary")
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets from their sketches: exact for sets within SKETCH, else from the least hashes of both."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    least = np.union1d(x, y)
+    if max(len(x), len(y)) >= SKETCH:
+        least = least[:SKETCH]
+    both = np.isin(least, x, assume_unique=True) & np.isin(least, y, assume_unique=True)
+    return float(both.mean()) if len(least) else 1.0
+
+
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node, root): for each distinct text that is linked, its smallest id and its group's.
+
+    Texts are linked if their fingerprints are (as in ``near_duplicates``), or if one of the
+    tables links their distinct words and their shingles are SIMILARITY alike. Every table is
+    linked by ball hashing; each variant's holders are tried against the one with the smallest id.
+    """
+    texts = cut(described(docs, key, text).groupBy("exact").agg(F.min_by(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("node"), "print", "tables", "sketch"), F.coalesce("doc_id", F.lit(LAST_ID))).alias("x")).select("x.*"))
+    own = F.array(F.struct(F.lit(-1).alias("table"), F.col("print").alias("value"), F.lit(flips(1)).alias("flips")))
+    rest = F.transform("tables", lambda x, t: F.struct(t.alias("table"), x.alias("value"), F.lit(flips(1, TABLE_BITS)).alias("flips")))
+    balls = texts.select("node", F.explode(F.concat(own, rest)).alias("x")).select("node", "x.table", "x.value", F.explode("x.flips").alias("flip")).select("node", "table", F.col("value").bitwiseXOR(F.col("flip")).alias("variant"))
+    met = balls.withColumn("least", F.min("node").over(Window.partitionBy("table", "variant"))).where("least <> node")
+    pairs = cut(met.groupBy(F.col("least").alias("a"), F.col("node").alias("b")).agg(F.min("table").alias("table")))
+
+    def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similarity(x, y) >= SIMILARITY for x, y in zip(batch["sketch_a"].to_pylist(), batch["sketch_b"].to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    tried = pairs.where("table >= 0")
+    for end in ("a", "b"):
+        tried = tried.join(texts.select(F.col("node").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
+    verified = tried.select("a", "b", "sketch_a", "sketch_b").mapInArrow(alike, "a long, b long")
+    roots = components(pairs.where("table < 0").select("a", "b").union(verified))
+    return texts.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the one with the smallest id, rows under one id once."""
+    kept = grouped(docs, key, text).where("node = root").select(F.col("node").alias("kept_id"))
+    return docs.join(kept, F.coalesce(docs[key].cast("long"), F.lit(LAST_ID)) == F.col("kept_id")).drop("kept_id").dropDuplicates([key])
 
 
 def op4_simhash_dedup(spark, sf_dir):
