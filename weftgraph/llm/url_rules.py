@@ -66,13 +66,13 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     items = labelled.where("verdict is not null").select(F.array_append("tokens", F.concat(F.lit(LABEL), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     sets = cut(model.freqItemsets.where(F.size("items") <= LONGEST + 1))
-    total = items.agg(F.count("*").alias("total"))
+    total = items.count()
     labels = F.filter("items", lambda x: x.startswith(LABEL))
     split = sets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith(LABEL))).alias("tokens"), F.get(labels, F.lit(0)).alias("label"), "freq").where(F.size("tokens") > 0)
     bare = split.where("label is null").select("tokens", F.col("freq").alias("all"))
     rules = (
-        split.where("label is not null").join(bare, "tokens").join(total)
-        .select("tokens", F.substring("label", len(LABEL) + 1, 100).alias("verdict"), (F.col("freq") / F.col("all")).alias("confidence"), (F.col("freq") / F.col("total")).alias("support"))
+        split.where("label is not null").join(bare, "tokens")
+        .select("tokens", F.substring("label", len(LABEL) + 1, 100).alias("verdict"), (F.col("freq") / F.col("all")).alias("confidence"), (F.col("freq") / F.lit(total)).alias("support"))
         .where(F.col("confidence") >= confidence)
     )
     # a rule goes if one with a token less has the same verdict with as much confidence
