@@ -88,6 +88,7 @@ def test_query(spark, nothing, awkward, folder):
 
 
 def test_kept_text(spark):
-    t = "".join(random.Random(1).choice("abcdefgh") for _ in range(150))
+    rng = random.Random(1)
+    t = "".join(rng.choice("abcdefgh") for _ in range(150))
     rows = {r["doc_id"]: r["kept"] for r in R.remove_repeats(spark.createDataFrame([(1, t), (2, "x" + t + "y")], "doc_id long, text string"), keep_text=True).collect()}
     assert rows == {1: t, 2: "xy"}
