@@ -72,7 +72,8 @@ class Literal(Expression):
         kinds = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType(), type(None): T.NullType()}
         if type(self.value) not in kinds:
             raise PlanError(f"not a property value: {self.value!r}")
-        return F.lit(self.value), kinds[type(self.value)]
+        literal = F.lit(self.value).cast("long") if type(self.value) is int else F.lit(self.value)
+        return literal, kinds[type(self.value)]
 
 
 @dataclass(frozen=True, eq=False)

@@ -36,7 +36,7 @@ def scan_label(g):
     return g.match("c", "Customer").returns((p("c.custkey"), "custkey"), (p("c.name"), "name")).df
 
 
-@query("SELECT n_nationkey AS nationkey FROM nation WHERE n_name = (SELECT n_name FROM nation WHERE n_nationkey = 7)")
+@query("SELECT n_nationkey::BIGINT AS nationkey FROM nation WHERE n_name = (SELECT n_name FROM nation WHERE n_nationkey = 7)")
 def scan_inline_property(g):
     name = g.match("n", "Nation", {"nationkey": 7}).returns(p("n.name")).collect()[0][0]
     return g.match("n", "Nation", {"name": name}).returns((p("n.nationkey"), "nationkey")).df
@@ -58,7 +58,7 @@ def scan_unknown_label(g):
 
 
 def _comparison(name: str, condition, sql: str) -> None:
-    @query(f"SELECT p_partkey AS partkey, p_size AS size FROM part WHERE {sql}")
+    @query(f"SELECT p_partkey AS partkey, p_size::BIGINT AS size FROM part WHERE {sql}")
     def compared(g):
         return g.match("x", "Part").filter(condition).returns((p("x.partkey"), "partkey"), (p("x.size"), "size")).df
 
@@ -87,12 +87,12 @@ def project_comparison(g):
     return g.match("x", "Part").returns((p("x.partkey"), "partkey"), (p("x.retailprice") > 1500.0, "dear")).df
 
 
-@query("SELECT 42 AS answer")
+@query("SELECT 42::BIGINT AS answer")
 def return_literal(g):
     return g.unit().returns((42, "answer")).df
 
 
-@query("SELECT r_regionkey AS id, 'Region' AS label, r_name AS name FROM region")
+@query("SELECT r_regionkey::BIGINT AS id, 'Region' AS label, r_name AS name FROM region")
 def return_whole_node(g):
     whole = g.match("r", "Region").returns(v("r")).df
     return whole.select(F.col("r.properties.regionkey").alias("id"), "r.label", F.col("r.properties.name").alias("name"))
@@ -104,7 +104,7 @@ def return_whole_edge(g):
     return found.select("e.type", "custkey", "orderkey")
 
 
-@query("SELECT * FROM (SELECT n_name AS a, n_nationkey AS b FROM nation)")
+@query("SELECT * FROM (SELECT n_name AS a, n_nationkey::BIGINT AS b FROM nation)")
 def return_renamed_twice(g):
     return g.match("n", "Nation").returns(p("n.name"), p("n.nationkey")).df.toDF("a", "b")
 
@@ -122,7 +122,7 @@ def skip_limit(g):
     return g.match("c", "Customer").returns((p("c.custkey"), "custkey"), order_by=[p("c.mktsegment"), (p("c.custkey"), "desc")], skip=5, limit=10).df
 
 
-@query("SELECT n_nationkey AS nationkey FROM nation ORDER BY n_nationkey OFFSET 20")
+@query("SELECT n_nationkey::BIGINT AS nationkey FROM nation ORDER BY n_nationkey OFFSET 20")
 def skip_only(g):
     return g.match("n", "Nation").returns((p("n.nationkey"), "nationkey"), order_by=[p("n.nationkey")], skip=20).df
 
@@ -260,7 +260,7 @@ def create_for_each_row(g):
     return rows.returns((p("x.name"), "name"), (p("x.made"), "made")).df
 
 
-@query("SELECT s_suppkey AS suppkey, n_name AS nation, 2024 AS since FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2")
+@query("SELECT s_suppkey AS suppkey, n_name AS nation, 2024::BIGINT AS since FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2")
 def create_edges(g):
     rows = g.match("n", "Nation", {"regionkey": 2}).expand("n", "s", "BASED_IN", "in").create_edge("n", "HOSTS", "s", {"since": 2024})
     found = rows.graph.match("n", "Nation").expand("n", "s", "HOSTS", edge="e")
