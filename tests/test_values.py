@@ -36,6 +36,12 @@ def test_value_position(spark, left, right):
     df = spark.createDataFrame([(i, *x) for i, x in enumerate(pairs)], T.StructType([T.StructField("n", T.LongType()), T.StructField("a", TYPES[left]), T.StructField("b", TYPES[right])]))
     ka, kb = values.kind(TYPES[left]), values.kind(TYPES[right])
     a, b = F.col("a"), F.col("b")
+    checked(df, pairs, a, ka, b, kb)
+    for x, kx, y, ky in ((values.tagged(a, ka), values.TAGGED, b, kb), (a, ka, values.tagged(b, kb), values.TAGGED), (values.tagged(a, ka), values.TAGGED, values.tagged(b, kb), values.TAGGED)):
+        checked(df, pairs, x, kx, y, ky)
+
+
+def checked(df, pairs, a, ka, b, kb):
     made = {"=": values.equal(a, ka, b, kb), "<>": ~values.equal(a, ka, b, kb), "<": values.less(a, ka, b, kb), "<=": values.at_most(a, ka, b, kb), ">": ~values.at_most(a, ka, b, kb), ">=": ~values.less(a, ka, b, kb)}
     for row in df.select("n", *[c.alias(op) for op, c in made.items()]).collect():
         for op in made:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.errors import PlanError
+from weftgraph.functions.values import unified
 from weftgraph.sources.graph import KEY_BITS, EdgeTable
 
 if TYPE_CHECKING:
@@ -81,6 +82,7 @@ def _edges(rows: Rows, walked: list[Way], name: str) -> DataFrame:
         frames.append(e.select(F.col(w.near).alias("near$id"), F.col(w.far).alias("far$id"), F.lit(w.edge.type).alias("edge$type"), *[F.col(c).alias(f"edge${c}") for c in e.columns]))
     if not frames:
         return rows.graph.spark.createDataFrame([], "`near$id` long, `far$id` long, `edge$type` string, `edge$id` long, `edge$src` long, `edge$dst` long")
+    frames = unified(frames)
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)

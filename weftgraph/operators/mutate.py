@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from weftgraph.errors import ConstraintError, PlanError
 from weftgraph.functions.expressions import as_expression
-from weftgraph.functions.values import kind
+from weftgraph.functions.values import TAGGED, kind, tagged, unified
 from weftgraph.sources.graph import KEY_BITS, EdgeTable, Graph
 
 if TYPE_CHECKING:
@@ -31,12 +31,17 @@ def _evaluated(rows: Rows, properties: dict) -> dict[str, Column]:
     out = {}
     for k, x in properties.items():
         c, t = as_expression(x).column(rows.scope)
-        if isinstance(t, T.StructType):
+        if isinstance(t, T.StructType) and kind(t) != TAGGED:
             raise PlanError(f"a whole node or edge cannot be the value of {k!r}")
         out[k] = c
     return out
 
 
+def _as(x: Column, have: T.DataType, want: T.DataType) -> Column:
+    """A value in the type of the column that takes it."""
+    return tagged(x, kind(have)) if kind(want) == TAGGED else x.cast(want)
+
+
 def _next_node(graph: Graph, label: str) -> tuple[Graph, int]:
     """A graph that has the label's table, and the least id above all its nodes."""
     if label not in graph.nodes:
@@ -47,13 +52,11 @@ def _next_node(graph: Graph, label: str) -> tuple[Graph, int]:
     return graph, (table.number << KEY_BITS) if most is None else most + 1
 
 
-def _appended(table: DataFrame, new: DataFrame, what: str) -> DataFrame:
+def _appended(table: DataFrame, new: DataFrame) -> DataFrame:
     void = [f.name for f in new.schema.fields if isinstance(f.dataType, T.NullType)]
     types = {f.name: f.dataType for f in table.schema.fields}
     new = new.withColumns({c: F.col(c).cast(types.get(c, T.StringType())) for c in void}) if void else new
-    for f in new.schema.fields:
-        if f.name in types and kind(types[f.name]) != kind(f.dataType):
-            raise PlanError(f"{what}.{f.name} holds {types[f.name].simpleString()} values, not {f.dataType.simpleString()}")
+    table, new = unified([table, new])
     return table.unionByName(new, allowMissingColumns=True)
 
 
@@ -81,13 +84,13 @@ def create_node(rows: Rows, variable: str, label: str, properties: dict) -> Rows
     df = numbered(rows.df.withColumns({f"new${k}": c for k, c in made.items()}) if made else rows.df)
     df = df.withColumn("made#", F.lit(first) + F.col("row#"))
     new = df.select(F.col("made#").alias("id"), *[F.col(f"new${k}").alias(k) for k in made])
-    table = _appended(graph.nodes[label].df, new, label or "node")
+    table = _appended(graph.nodes[label].df, new)
     graph = graph.with_nodes(label, table)
     graph.check([label])
     rows = _without(replace(rows, df=df), variable)
     df = rows.df.drop("row#").withColumnRenamed("made#", f"{variable}$id").withColumn(f"{variable}$label", F.lit(label))
     types = {f.name: f.dataType for f in table.schema.fields}
-    df = df.withColumns({f"{variable}${c}": (F.col(f"new${c}") if c in made else F.lit(None)).cast(types[c]) for c in graph.nodes[label].properties}).drop(*[f"new${k}" for k in made])
+    df = df.withColumns({f"{variable}${c}": _as(F.col(f"new${c}"), rows.df.schema[f"new${c}"].dataType, types[c]) if c in made else F.lit(None).cast(types[c]) for c in graph.nodes[label].properties}).drop(*[f"new${k}" for k in made])
     return rows.bind(df, variable, Bound(NODE, label, tuple(graph.nodes[label].properties)), graph)
 
 
@@ -106,7 +109,7 @@ def create_edge(rows: Rows, start: str, type_: str, end: str, properties: dict,
     df = df.withColumn("made#", F.lit(0 if most is None else most + 1) + F.col("row#")).drop("row#")
     new = df.select(F.col("made#").alias("id"), F.col(f"{start}$id").alias("src"), F.col(f"{end}$id").alias("dst"), *[F.col(f"new${k}").alias(k) for k in made])
     base = have.df if have else new.limit(0)
-    graph = rows.graph.with_edges(type_, _appended(base, new, type_), src, dst)
+    graph = rows.graph.with_edges(type_, _appended(base, new), src, dst)
     if edge:
         rows = _without(replace(rows, df=df), edge)
         df = rows.df.withColumns({f"{edge}$id": F.col("made#"), f"{edge}$type": F.lit(type_), f"{edge}$src": F.col(f"{start}$id"), f"{edge}$dst": F.col(f"{end}$id"), **{f"{edge}${k}": F.col(f"new${k}") for k in made}})
@@ -123,17 +126,18 @@ def merge_node(rows: Rows, variable: str, label: str, properties: dict) -> Rows:
     rows = replace(rows, df=numbered(rows.df).drop("row#"))
     wanted = rows.df.select(*names).distinct()
     types = {f.name: f.dataType for f in table.df.schema.fields}
-    fits = all(k in types and kind(types[k]) == kind(wanted.schema[f"new${k}"].dataType) for k in made)
+    asked = {k: kind(wanted.schema[f"new${k}"].dataType) for k in made}
+    fits = all(k in types and (kind(types[k]) == asked[k] or TAGGED in (kind(types[k]), asked[k])) for k in made)
     if fits:
         oldest = table.df.groupBy(*[F.col(k).alias(f"old${k}") for k in made]).agg(F.min("id").alias("found"))
-        same = reduce(lambda a, b: a & b, [F.col(f"new${k}").eqNullSafe(F.col(f"old${k}")) for k in made], F.lit(True))
+        same = reduce(lambda a, b: a & b, [tagged(F.col(f"new${k}"), asked[k]).eqNullSafe(tagged(F.col(f"old${k}"), kind(types[k]))) if TAGGED in (asked[k], kind(types[k])) else F.col(f"new${k}").eqNullSafe(F.col(f"old${k}")) for k in made], F.lit(True))
         keyed = wanted.join(oldest, same, "left").drop(*[f"old${k}" for k in made])
     else:
         keyed = wanted.withColumn("found", F.lit(None).cast("long"))
     keyed = numbered(keyed)
     keyed = keyed.withColumn("to$id", F.coalesce("found", F.lit(first) + F.col("row#")))
     new = keyed.where("found is null").select(F.col("to$id").alias("id"), *[F.col(f"new${k}").alias(k) for k in made])
-    graph = graph.with_nodes(label, _appended(table.df, new, label or "node"))
+    graph = graph.with_nodes(label, _appended(table.df, new))
     graph.check([label])
     again = keyed.select(F.col("to$id").alias(f"{variable}$id"), *[F.col(n).alias(f"m{n}") for n in names])
     same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"m{n}")) for n in names], F.lit(True))
@@ -155,13 +159,16 @@ def set_property(rows: Rows, variable: str, key: str, value) -> Rows:
 
     def written(df: DataFrame, id_: str, column: str) -> DataFrame:
         t = last.schema["set$value"].dataType
-        if column in df.columns and not isinstance(t, T.NullType) and kind(df.schema[column].dataType) != kind(t):
-            if df.where(F.col(column).isNotNull()).join(last, F.col(id_) == F.col("set$id"), "left_anti").take(1):
-                raise PlanError(f"{column!r} holds {df.schema[column].dataType.simpleString()} values that stay, so it cannot take {t.simpleString()} ones")
-            df = df.drop(column)
-        old = F.col(column) if column in df.columns else F.lit(None).cast("string" if isinstance(t, T.NullType) else t)
+        have = df.schema[column].dataType if column in df.columns else None
+        old, new_ = F.col(column) if have else F.lit(None), F.col("set$value")
+        if have is None:
+            old, new_ = old.cast(t if not isinstance(t, T.NullType) else "string"), new_.cast(t if not isinstance(t, T.NullType) else "string")
+        elif kind(have) != kind(t) and not isinstance(t, T.NullType):  # another type: the property now holds both
+            old, new_ = tagged(old, kind(have)), tagged(new_, kind(t))
+        else:
+            new_ = _as(new_, t, have)
         joined = df.join(last, F.col(id_) == F.col("set$id"), "left")
-        return joined.withColumn(column, F.when(F.col("set$id").isNotNull(), F.col("set$value")).otherwise(old)).drop("set$id", "set$value")
+        return joined.withColumn(column, F.when(F.col("set$id").isNotNull(), new_).otherwise(old)).drop("set$id", "set$value")
 
     graph = rows.graph
     if of.kind == NODE:

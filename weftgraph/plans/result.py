@@ -18,6 +18,8 @@ def shown(x: object) -> str:
         return str(int(x))
     if isinstance(x, Row):
         x = x.asDict()
+        if [*x] == ["t", "i", "f", "b", "s"]:  # a value with its type
+            return shown(next(v for v in (x["i"], x["f"], x["b"], x["s"]) if v is not None))
     if isinstance(x, dict):
         return "{" + ", ".join(f"{k}: {shown(x[k])}" for k in sorted(x)) + "}"
     return "[" + ", ".join(map(shown, x)) + "]" if isinstance(x, list) else str(x)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from weftgraph.errors import PlanError
 from weftgraph.functions.expressions import Entity, Expression, as_expression
+from weftgraph.functions.values import TAGGED, kind, plain_order
 from weftgraph.operators import expand, mutate
 from weftgraph.plans.result import Result
 from weftgraph.sources.graph import UNLABELLED, Graph
@@ -124,7 +125,8 @@ class Rows:
         keys = []
         for item in order_by:
             expression, way = item if isinstance(item, tuple) else (item, "asc")
-            c, _ = as_expression(expression).column(self.scope)
+            c, t = as_expression(expression).column(self.scope)
+            c = plain_order(c) if kind(t) == TAGGED else c
             keys.append(c.desc_nulls_last() if way == "desc" else c.asc_nulls_first())
         if skip is not None or limit is not None:
             keys += [F.col(f"{x}$id").asc() if b.kind == NODE else F.col(f"{x}$id").desc() for x, b in self.bound.items()]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.errors import ConstraintError, PlanError
+from weftgraph.functions.values import unified
 
 #: Keys of one label's nodes lie below 2**KEY_BITS.
 KEY_BITS = 48
@@ -99,7 +100,7 @@ class Graph:
         tables = [self.scan_nodes(x) for x in self.nodes]
         if not tables:
             return self._empty("id long, label string")
-        self._same_types([t.df for t in self.nodes.values()])
+        tables = unified(tables)
         out = tables[0]
         for t in tables[1:]:
             out = out.unionByName(t, allowMissingColumns=True)
@@ -117,7 +118,7 @@ class Graph:
 
     def scan_edges(self, type: str | None = None) -> DataFrame:
         """Edges of a type, or all, with a ``type`` column."""
-        tables = [self.edge_frame(e).withColumn("type", F.lit(e.type)) for e in self.edges if type in (None, e.type)]
+        tables = unified([self.edge_frame(e).withColumn("type", F.lit(e.type)) for e in self.edges if type in (None, e.type)])
         if not tables:
             return self._empty("id long, src long, dst long, type string")
         out = tables[0]
@@ -193,14 +194,6 @@ class Graph:
     def _empty(self, schema: str) -> DataFrame:
         return self.spark.createDataFrame([], schema)
 
-    @staticmethod
-    def _same_types(frames: list[DataFrame]) -> None:
-        seen: dict[str, T.DataType] = {}
-        for df in frames:
-            for f in df.schema.fields:
-                if seen.setdefault(f.name, f.dataType) != f.dataType:
-                    raise PlanError(f"property {f.name!r} has different types under different labels: name the label, or cast one of them")
-
 
 def _widened(df: DataFrame) -> DataFrame:
     """Whole numbers as longs and floating ones as doubles, the two number types of properties."""
