@@ -204,8 +204,10 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the one with the smallest id, rows under one id once."""
-    kept = grouped(docs, key, text).where("node = root").select(F.col("node").alias("kept_id"))
-    return docs.join(kept, F.coalesce(docs[key].cast("long"), F.lit(LAST_ID)) == F.col("kept_id")).drop("kept_id").dropDuplicates([key])
+    kept = grouped(docs, key, text).where("node = root").select(F.col("node").alias("kept#id"))
+    # one shuffle of the texts serves both the join and the dropping of copies
+    placed = docs.withColumn("kept#id", F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)))
+    return placed.join(kept, "kept#id").dropDuplicates(["kept#id"]).select(*docs.columns)
 
 
 def op4_simhash_dedup(spark, sf_dir):
