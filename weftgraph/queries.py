@@ -16,11 +16,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+OPEN: dict[tuple[str, str], Graph] = {}
+
+
+def opened(spark: SparkSession, folder: str) -> Graph:
+    """The folder's graph, opened once for an application: later queries start from its table definitions."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in OPEN:
+        OPEN.clear()
+        OPEN[key] = sales_graph(spark, folder)
+    return OPEN[key]
+
+
 def query(sql: str | None):
     """Registers a function of a graph; ``sql`` gives the same rows."""
 
     def add(f: Callable[[Graph], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, folder: f(sales_graph(spark, folder))
+        QUERIES[f.__name__] = lambda spark, folder: f(opened(spark, folder))
         if sql is not None:
             ORACLES[f.__name__] = sql
         return f
