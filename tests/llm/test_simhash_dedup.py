@@ -80,3 +80,56 @@ def test_long_chain_and_star(spark):
 def test_one_of_each(spark, awkward):
     ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in S.one_of_each(awkward).collect())
     assert ids == [(False, i) for i in (1, 2, 5, 6, 9, 10, 11)] + [(True, 0)]
+
+
+def shingles_by_hand(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def kept_by_hand(texts):
+    """The first of each group over all pairs, by fingerprints or 5-word shingles at 0.8."""
+    seen = [(print_by_hand(t), shingles_by_hand(t)) for t in texts]
+    roots = components_by_hand(seen, lambda x, y: (x[0] ^ y[0]).bit_count() <= 2 or 5 * len(x[1] & y[1]) >= 4 * len(x[1] | y[1]))
+    return sorted({*roots})
+
+
+def test_block_insertions_against_all_pairs(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    texts = []
+    for i in range(60):
+        words = [word() for _ in range(rng.choice([60, 200, 700]))]
+        new = int(len(words) * (0.05 + 0.25 * i / 60))
+        at = rng.choice([0, len(words) // 2, len(words)])
+        texts += [" ".join(words), " ".join(words[:at] + [word() for _ in range(new)] + words[at:])]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert 60 < len(kept_by_hand(texts)) < 90
+    assert sorted(r["doc_id"] for r in S.one_of_each(docs).collect()) == kept_by_hand(texts)
+
+
+def test_shingles_at_the_threshold_are_counted_whole(spark):
+    texts = []
+    for i in range(40):
+        words = [f"w{i}x{j}" for j in range(804)]  # 800 shingles; k more behind them give 800 / (800 + k)
+        texts += [" ".join(words), " ".join(words + [f"v{i}x{j}" for j in range(200 + i % 2)])]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in S.one_of_each(docs).collect()) == [j for i in range(40) for j in ([2 * i, 2 * i + 1] if i % 2 else [2 * i])]
+
+
+def test_same_words_in_other_orders(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(30):
+        rng.shuffle(words)
+        texts += [" ".join(words), " ".join(words[:-1]), " ".join([*words[50:], *words[:50]])]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in S.one_of_each(docs).collect()) == kept_by_hand(texts)
+
+
+def test_different_texts_with_null_or_equal_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (None, texts[4]), ((1 << 63) - 1, texts[5]), (None, texts[0])]
+    kept = S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, spark.createDataFrame(rows[:5] + rows[6:7], "doc_id long, text string").collect()))

@@ -29,11 +29,12 @@ BITS = 64
 SEED = 42
 #: Hashes whose bits are unpacked at once.
 PIECE = 1 << 16
-#: A stage's near duplicates: words of a shingle, least similarity, hashes of a sketch; fingerprints of distinct words and their bits.
+#: A stage's near duplicates: words of a shingle, least similarity (also as a fraction), hashes of a sketch.
 SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 128
-TABLES, TABLE_BITS = 5, 48
+OF, IN = 4, 5
 SHINGLE_PRINT = 3
-LAST_ID = (1 << 63) - 1
+#: Texts sampled for the order of shingles, and how many common ones that order knows; both steer work, never a result.
+ORDER_TEXTS, ORDER_SHINGLES = 10_000, 1 << 19
 
 
 def shingle_hashes(text: str, n: int) -> Iterator[np.ndarray]:
@@ -132,37 +133,66 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str
 # ---- one document of each group, for a stage that removes near duplicates ----
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of the SHINGLE-word shingles, ascending."""
+    hashes = [*shingle_hashes(text or "", SHINGLE)]
+    return np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+
+
+def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, ascending, and in how many of them."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_py()) for x in batch["text"]]
+            h, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    share = min(1.0, ORDER_TEXTS / max(1, docs.count()))
+    texts = docs.select(column(docs, text, "string").alias("text")).withColumn("seal", F.xxhash64("text")).where(F.pmod("seal", F.lit(1 << 30)) < share * (1 << 30))
+    counts = texts.groupBy("seal").agg(F.first("text").alias("text")).select("text").mapInArrow(work, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = counts.where("n > 2").orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).toArrow()
+    h, n = found["shingle"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    at = np.argsort(h)
+    return h[at], n[at]
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles in the order rare to common, then by hash: two sets SIMILARITY alike have one of these in common.
+
+    Such sets share at least OF / IN of each, so neither can have all shared ones behind its prefix.
+    """
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        shingles = shingles[np.argsort(np.where(common[at] == shingles, often[at], 0), kind="stable")]
+    return shingles[: len(shingles) + OF * len(shingles) // -IN + 1]
+
+
 def described(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, exact, print, tables, sketch) of each text, words as above.
+    """(doc_id, seal, exact, print, n, prefix) of each text, words as above.
 
-    ``exact`` names the word sequence, ``print`` is the fingerprint of SHINGLE_PRINT-word
-    shingles, ``tables`` holds TABLES fingerprints of TABLE_BITS bits of the distinct words, and
-    ``sketch`` the SKETCH smallest hashes of the distinct SHINGLE-word shingles.
+    ``seal`` names the text and ``exact`` its word sequence, ``print`` is the fingerprint of
+    SHINGLE_PRINT-word shingles, ``n`` counts the distinct SHINGLE-word shingles.
     """
     import xxhash
 
-    def one(text: str | None) -> tuple[int, int, list[int], bytes]:
+    order = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text))
+
+    def one(text: str | None) -> tuple[int, int, int, np.ndarray]:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        wide = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, s) for s in (1, 2) for w in sorted({*words})), np.uint8)
-        bits = np.zeros(256, bool)
-        if len(wide):
-            half = wide.reshape(2, -1, 16)
-            bits = np.concatenate([np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int64) * 2 > len(h) for h in half])
-        tables = [int.from_bytes(np.packbits(bits[t * TABLE_BITS : (t + 1) * TABLE_BITS]).tobytes(), "big") for t in range(TABLES)]
-        hashes = [(h >> np.uint64(32)).astype(np.uint32) for h in shingle_hashes(text or "", SHINGLE)]
-        least = np.unique(np.concatenate(hashes))[:SKETCH] if hashes else np.zeros(0, np.uint32)
-        return xxhash.xxh3_64_intdigest(b" ".join(words)), fingerprint(text, SHINGLE_PRINT), tables, least.tobytes()
+        shingles = shingle_set(text)
+        return xxhash.xxh3_64_intdigest(b" ".join(words)), fingerprint(text, SHINGLE_PRINT), len(shingles), prefix(shingles, *order.value).view(np.int64)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            exact, prints, tables, sketch = zip(*map(one, batch["text"].to_pylist()), strict=True) if batch.num_rows else ((),) * 4
+            exact, prints, n, first = zip(*map(one, batch["text"].to_pylist()), strict=True) if batch.num_rows else ((),) * 4
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch["doc_id"], "exact": pa.array(np.array(exact, np.uint64).view(np.int64)), "print": pa.array(np.array(prints, np.uint64).view(np.int64)),
-                "tables": pa.array(tables, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary()),
+                "doc_id": batch["doc_id"], "seal": batch["seal"], "exact": pa.array(np.array(exact, np.uint64).view(np.int64)), "print": pa.array(np.array(prints, np.uint64).view(np.int64)),
+                "n": pa.array(n, pa.int32()), "prefix": pa.array(first, pa.list_(pa.int64())),
             })
 
-    picked = docs.select(column(docs, key, "long").alias("doc_id"), column(docs, text, "string").alias("text"))
-    return picked.mapInArrow(work, "doc_id long, exact long, print long, tables array<long>, sketch binary")
+    picked = docs.select(column(docs, key, "long").alias("doc_id"), column(docs, text, "string").alias("text")).withColumn("seal", F.xxhash64("text"))
+    return picked.mapInArrow(work, "doc_id long, seal long, exact long, print long, n int, prefix array<long>")
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -175,39 +205,69 @@ def similarity(a: bytes, b: bytes) -> float:
     return float(both.mean()) if len(least) else 1.0
 
 
-def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, root): for each distinct text that is linked, its smallest id and its group's.
+def alike(pairs: DataFrame, texts: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The (a, b) of ``pairs`` whose shingles are SIMILARITY alike, by all shingles of both texts."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    seals = texts.join(ends, "node").select("node", "seal")
+    read = docs.select(column(docs, text, "string").alias("text")).withColumn("seal", F.xxhash64("text")).join(seals, "seal").select("node", "text").dropDuplicates(["node"])
 
-    Texts are linked if their fingerprints are (as in ``near_duplicates``), or if one of the
-    tables links their distinct words and their shingles are SIMILARITY alike. Every table is
-    linked by ball hashing; each variant's holders are tried against the one with the smallest id.
-    """
-    texts = cut(described(docs, key, text).groupBy("exact").agg(F.min_by(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("node"), "print", "tables", "sketch"), F.coalesce("doc_id", F.lit(LAST_ID))).alias("x")).select("x.*"))
-    own = F.array(F.struct(F.lit(-1).alias("table"), F.col("print").alias("value"), F.lit(flips(1)).alias("flips")))
-    rest = F.transform("tables", lambda x, t: F.struct(t.alias("table"), x.alias("value"), F.lit(flips(1, TABLE_BITS)).alias("flips")))
-    balls = texts.select("node", F.explode(F.concat(own, rest)).alias("x")).select("node", "x.table", "x.value", F.explode("x.flips").alias("flip")).select("node", "table", F.col("value").bitwiseXOR(F.col("flip")).alias("variant"))
-    met = balls.withColumn("least", F.min("node").over(Window.partitionBy("table", "variant"))).where("least <> node")
-    pairs = cut(met.groupBy(F.col("least").alias("a"), F.col("node").alias("b")).agg(F.min("table").alias("table")))
-
-    def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"node": batch["node"], "set": pa.array([shingle_set(x.as_py()).tobytes() for x in batch["text"]], pa.binary())})
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [similarity(x, y) >= SIMILARITY for x, y in zip(batch["sketch_a"].to_pylist(), batch["sketch_b"].to_pylist(), strict=True)]
+            ok = []
+            for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both * IN >= (len(x) + len(y) - both) * OF)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    tried = pairs.where("table >= 0")
+    made = cut(read.mapInArrow(sets, "node long, set binary"))
     for end in ("a", "b"):
-        tried = tried.join(texts.select(F.col("node").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
-    verified = tried.select("a", "b", "sketch_a", "sketch_b").mapInArrow(alike, "a long, b long")
-    roots = components(pairs.where("table < 0").select("a", "b").union(verified))
-    return texts.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        pairs = pairs.join(made.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
+    return cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"))
+
+
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node, doc_id, seal, root): each distinct word sequence, its row with the smallest id, and its group.
+
+    Texts are linked if their fingerprints are (as in ``near_duplicates``), or if their shingles
+    are SIMILARITY alike. Texts so alike share a shingle of their prefixes. Each text is first
+    tried against the least holder with which it shares most of them; then all pairs that share
+    one and are not in one group yet are tried, so that groups come out as from all pairs.
+    """
+    found = described(docs, key, text).groupBy("exact").agg(F.min_by(F.struct("doc_id", "seal", "print", "n", "prefix"), F.struct(F.col("doc_id").isNull(), "doc_id", "seal")).alias("x"))
+    texts = cut(found.select(F.col("exact").alias("node"), "x.*"))
+    balls = texts.select("node", "print", F.explode(F.lit(flips(1))).alias("flip")).select("node", F.col("print").bitwiseXOR(F.col("flip")).alias("variant"))
+    same = cut(balls.withColumn("a", F.min("node").over(Window.partitionBy("variant"))).where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    bucket = Window.partitionBy("shingle")
+    holders = texts.select("node", "n", F.explode("prefix").alias("shingle"))
+    shared = cut(holders.withColumn("least", F.min("node").over(bucket)).withColumn("most", F.max("node").over(bucket)).where("least <> most").select("shingle", "node", "n", "least"))
+    tries = shared.where("least <> node").groupBy("node", "least").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("least", F.struct("k", "least")).alias("a"))
+    linked = same.union(alike(cut(tries.select("a", F.col("node").alias("b"))), texts, docs, text))
+    roots = components(linked)
+    placed = shared.select("shingle", "node", "n").join(roots, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
+    open_ = placed.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low <> high").select("shingle", "node", "n", "root")
+    open_ = cut(open_)
+    other = open_.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
+    apart = open_.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & (F.least("n", "m") * IN >= F.greatest("n", "m") * OF))
+    rest = alike(cut(apart.select(F.col("node").alias("a"), "b").distinct()), texts, docs, text)
+    if not rest.isEmpty():
+        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a <> b").union(rest))
+    return texts.select("node", "doc_id", "seal").join(roots, "node", "left").select("node", "doc_id", "seal", F.coalesce("root", "node").alias("root"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the one with the smallest id, rows under one id once."""
-    kept = grouped(docs, key, text).where("node = root").select(F.col("node").alias("kept#id"))
-    # one shuffle of the texts serves both the join and the dropping of copies
-    placed = docs.withColumn("kept#id", F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)))
-    return placed.join(kept, "kept#id").dropDuplicates(["kept#id"]).select(*docs.columns)
+    """The rows of ``docs`` without near duplicates: of each group the one with the smallest id; rows of one id and text are copies."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "seal")
+    kept = grouped(docs, key, text).groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("kept#id"), F.col("x.seal").alias("kept#seal"))
+    # one shuffle of the texts serves both the join and the dropping of copies; a null id is told from others by "kept#none"
+    named = lambda df, i: df.withColumn("kept#none", F.col(i).isNull()).withColumn("kept#id", F.coalesce(F.col(i).cast("long"), F.lit(0)))
+    names = ["kept#seal", "kept#id", "kept#none"]
+    placed = named(docs.withColumn("kept#seal", F.xxhash64(column(docs, text, "string"))), key)
+    return placed.join(named(kept, "kept#id"), names).dropDuplicates(names).select(*docs.columns)
 
 
 def op4_simhash_dedup(spark, sf_dir):
