@@ -61,3 +61,13 @@ def test_masking(spark):
     out = S.mask_secrets(df)
     assert out.columns == df.columns
     assert sorted((r["text"] or "" for r in out.collect())) == ["", "clean", "other", "é [assign], then [access]!"]
+
+
+def test_one_owner_is_live_in_any_number_of_documents(spark):
+    key = "ghp_" + "aB3dE5gH7jK9" * 3
+    rows = [(i, f"deploy with {key} here", "team") for i in range(25)] + [(100 + i, "password = correcthorse", f"site{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = {r["doc_id"]: r for r in S.scan_secrets(docs).collect()}
+    assert all(by[i]["live_spans"].startswith("prefixed:") and by[i]["most_repositories"] == 25 for i in range(25))
+    assert all(by[100 + i]["n_copied"] == 1 and by[100 + i]["most_repositories"] == 3 for i in range(3))
+    assert not any(key in r["text"] for r in S.mask_secrets(docs).collect())

@@ -3,7 +3,8 @@
 Three base patterns find secrets in each text. Further patterns give only candidates: the
 hashes of all candidate values are counted over the whole corpus by distinct owners
 (``source``) and distinct repositories (``doc_id``). A value that several owners hold is a
-copied example; one that a single owner holds in few repositories looks live. Candidates of
+copied example; one that at most COPIED_OWNERS hold looks live, in however many repositories;
+their number is told beside it. Candidates of
 the further patterns become spans only if they look live; base spans always stay and are
 counted as live or copied.
 
@@ -43,9 +44,8 @@ MORE = ("prefixed", "signed", "block", "mixed")
 KINDS = (*BASE, *MORE)
 ORDER = {k: i for i, k in enumerate(KINDS)}
 
-#: Above this many distinct owners a value is a copied example; live ones also stay within so many repositories.
+#: Above this many distinct owners a value is a copied example.
 COPIED_OWNERS = 2
-LIVE_REPOSITORIES = 20
 
 Span = tuple[int, int, str, str]
 
@@ -115,15 +115,18 @@ def ownership(candidates: DataFrame) -> DataFrame:
     value, owner, doc = F.col("value"), F.coalesce(F.concat(F.lit("="), "owner"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     pairs = candidates.select(value, F.explode(F.array(F.struct(F.lit(0).alias("what"), owner.alias("name")), F.struct(F.lit(1).alias("what"), doc.alias("name")))).alias("x"))
     counts = pairs.select("value", "x.*").distinct().groupBy("value").agg(F.count_if(F.col("what") == 0).alias("n_owners"), F.count_if(F.col("what") == 1).alias("n_repositories"))
-    return counts.withColumn("live", (F.col("n_owners") <= COPIED_OWNERS) & (F.col("n_repositories") <= LIVE_REPOSITORIES))
+    return counts.withColumn("live", F.col("n_owners") <= COPIED_OWNERS)
 
 
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, live_spans)."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, live_spans, most_repositories).
+
+    ``most_repositories`` is in how many documents the most repeated of a document's values is.
+    """
     # the ids are fixed by the written checkpoint, so both uses below see the same ones
     scanned = cut(scan(docs, key, text, owner).withColumn("row", F.monotonically_increasing_id()))
     each = scanned.where(F.size("found") > 0).select("row", "owner", "doc_id", F.explode("found").alias("c")).select("row", "owner", "doc_id", "c.*")
-    judged = each.select("row", "start", "end", "kind", "value").join(ownership(each).select("value", "live"), "value")
+    judged = each.select("row", "start", "end", "kind", "value").join(ownership(each).select("value", "live", "n_repositories"), "value")
     order = F.create_map(*[F.lit(x) for pair in ORDER.items() for x in pair])[F.col("kind")]
     base = F.col("kind").isin(*BASE)
     span = F.struct("start", order.alias("at"), F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string")).alias("said"))
@@ -131,15 +134,16 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner
         judged.groupBy("row")  # a document's own spans
         .agg(
             F.collect_list(F.when(base | F.col("live"), span)).alias("all"), F.collect_list(F.when(F.col("live"), span)).alias("alive"),
-            F.count_if(base & F.col("live")).alias("n_live"), F.count_if(base & ~F.col("live")).alias("n_copied"),
+            F.count_if(base & F.col("live")).alias("n_live"), F.count_if(base & ~F.col("live")).alias("n_copied"), F.max("n_repositories").alias("most_repositories"),
         )
-        .select("row", "n_live", "n_copied", *[F.concat_ws(",", F.transform(F.array_sort(c), lambda s: s["said"])).alias(n) for c, n in (("all", "spans"), ("alive", "live_spans"))])
+        .select("row", "n_live", "n_copied", "most_repositories", *[F.concat_ws(",", F.transform(F.array_sort(c), lambda s: s["said"])).alias(n) for c, n in (("all", "spans"), ("alive", "live_spans"))])
     )
     rest = scanned.drop("found", "owner")
     zero = F.lit(0).cast("long")
     return rest.join(by_row, "row", "left").select(
         "doc_id", "seal", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"),
         F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"), F.coalesce("live_spans", F.lit("")).alias("live_spans"),
+        F.coalesce("most_repositories", zero).alias("most_repositories"),
     )
 
 
