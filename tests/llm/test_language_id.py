@@ -44,3 +44,15 @@ def test_false_positives_are_taken_off():
     corrected, _ = L.Filter(["a"], masks, np.array([0.5**L.HASHES])).votes(text)
     assert total > 0 and corrected[0] <= raw[0]
     assert L.Filter(["a"], masks | np.uint64(1), np.array([0.125])).votes(text)[0][0] == total
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    words = {f"l{i:03d}": ["".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz"], 7)) for _ in range(12)] for i in range(140)}
+    text = lambda lang: " ".join(rng.choice(words[lang], 30))
+    rows = [(lang, text(lang)) for i, lang in enumerate(words) for _ in range(3 + i % 2)]
+    model = L.train(spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string"))
+    assert model.languages == sorted(words)
+    assert all(model.decide(text(lang))[0] == lang for lang in words)

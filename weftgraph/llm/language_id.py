@@ -27,10 +27,10 @@ from weftgraph.llm.common import column, cut, table
 
 UNKNOWN = "und"
 GRAMS = (3, 4)
-#: The filter's size is fixed: slots (a power of 2) of eight bytes, so 8 MB whatever the corpus.
+#: The filter's slots (a power of 2) have eight bytes for every 64 languages, so 8 MB for each of these whatever the corpus.
 SLOTS = 1 << 20
 HASHES = 3
-MAX_LANGUAGES = 64
+WORD = 64
 #: Training reads a sample of about so many labelled documents of each language, by a hash of the id.
 SAMPLE_DOCS = 6000
 #: An n-gram is marked where its share of documents is at least SHARE and RATIO of its largest share.
@@ -84,7 +84,7 @@ def slots_of(h: np.ndarray, i: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Filter:
-    """The bit-sliced filter: languages by bit, a mask per slot, each language's false-positive rate."""
+    """The bit-sliced filter: languages by bit, a mask per slot (a row of them for every WORD languages), each language's false-positive rate."""
 
     languages: list[str]
     masks: np.ndarray
@@ -94,12 +94,14 @@ class Filter:
         """Corrected popcounts per language, and how many n-grams the text has."""
         counts, total = np.zeros(len(self.languages)), 0
         for h in gram_hashes(text):
-            mask = self.masks[slots_of(h, 0)]
-            for i in range(1, HASHES):
-                mask = mask & self.masks[slots_of(h, i)]
+            at = [slots_of(h, i) for i in range(HASHES)]
             total += len(h)
-            for b in range(len(self.languages)):
-                counts[b] += np.count_nonzero(mask & np.uint64(1 << b))
+            for word, masks in enumerate(np.atleast_2d(self.masks)):
+                mask = masks[at[0]]
+                for i in range(1, HASHES):
+                    mask = mask & masks[at[i]]
+                for b in range(word * WORD, min(len(self.languages), (word + 1) * WORD)):
+                    counts[b] += np.count_nonzero(mask & np.uint64(1 << b % WORD))
         return np.clip((counts - total * self.false_rate) / (1 - self.false_rate), 0, None), total
 
     def decide(self, text: str | None) -> tuple[str, float, float]:
@@ -118,12 +120,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Filter:
-    """Fits the filter on a documented sample of ``labelled``; what comes to the driver has the filter's fixed size."""
+    """Fits the filter on a documented sample of ``labelled``; what comes to the driver has the filter's size."""
     rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
+    words = -(-len(languages) // WORD)
     if not languages:
-        return Filter([], np.zeros(SLOTS, np.uint64), np.zeros(0))
+        return Filter([], np.zeros((1, SLOTS), np.uint64), np.zeros(0))
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, SAMPLE_DOCS / n))])[F.col("lang")]
     sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < rate * (1 << 30)).select("lang", "text")
     bits = {k: b for b, k in enumerate(languages)}
@@ -147,17 +150,20 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     in_all = F.create_map(*[F.lit(x) for b, n in docs.items() for x in (b, float(n))])[F.col("bit")] if docs else F.lit(1.0)
     shares = F.array_agg(F.struct("bit", "share"))  # at most one of each language
     marked = counts.where("gram <> 0").withColumn("share", F.col("n") / in_all).where((F.col("share") >= SHARE) & (F.col("n") >= 2)).groupBy("gram").agg(shares.alias("of"), F.max("share").alias("most"))
-    chosen = marked.select("gram", F.aggregate(F.filter("of", lambda x: x["share"] >= RATIO * F.col("most")), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"]))).alias("mask"))
+    usual = F.filter("of", lambda x: x["share"] >= RATIO * F.col("most"))
+    set_bit = lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"] % WORD))
+    in_word = lambda w: F.aggregate(F.filter("usual", lambda x: F.floor(x["bit"] / WORD) == w), F.lit(0).cast("long"), set_bit)
+    chosen = marked.select("gram", usual.alias("usual")).select("gram", F.posexplode(F.array(*[in_word(w) for w in range(words)])).alias("word", "mask")).where("mask <> 0")
 
     def slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, mask = batch["gram"].to_numpy().view(np.uint64), batch["mask"].to_numpy()
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(np.concatenate([slots_of(h, i) for i in range(HASHES)])), "mask": pa.array(np.tile(mask, HASHES))})
+            h, word, mask = batch["gram"].to_numpy().view(np.uint64), batch["word"].to_numpy(), batch["mask"].to_numpy()
+            yield pa.RecordBatch.from_pydict({"word": pa.array(np.tile(word, HASHES)), "slot": pa.array(np.concatenate([slots_of(h, i) for i in range(HASHES)])), "mask": pa.array(np.tile(mask, HASHES))})
 
-    filled = chosen.mapInArrow(slots, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most SLOTS rows
-    masks = np.zeros(SLOTS, np.uint64)
-    masks[filled["slot"].to_numpy()] = filled["mask"].to_numpy().view(np.uint64)
-    fill = np.array([np.count_nonzero(masks & np.uint64(1 << b)) / SLOTS for b in range(len(languages))])
+    filled = chosen.mapInArrow(slots, "word int, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most SLOTS rows a word
+    masks = np.zeros((words, SLOTS), np.uint64)
+    masks[filled["word"].to_numpy(), filled["slot"].to_numpy()] = filled["mask"].to_numpy().view(np.uint64)
+    fill = np.array([np.count_nonzero(masks[b // WORD] & np.uint64(1 << b % WORD)) / SLOTS for b in range(len(languages))])
     return Filter(languages, masks, np.minimum(fill**HASHES, 0.99))
 
 
