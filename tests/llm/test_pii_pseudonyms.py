@@ -66,3 +66,20 @@ def test_query(spark, awkward, nothing, folder):
         for span in filter(None, r["spans"].split(",")):
             kind, a, b = span.split(":")
             assert kind == "mail" and before[r["doc_id"]][int(a) : int(b)] not in r["text"] or kind != "mail"
+
+
+def test_values_beside_other_digits():
+    card = "4111 1111 1111 1111"
+    for text, value, kind in (
+        (f"card {card} 12/27", card, "card"), ("card 4111111111111111 12/27", "4111111111111111", "card"), (f"pay {card} 123.", card, "card"), (f"order 17 {card}", card, "card"), (f"17 {card} 123", card, "card"),
+        ("iban BE68 5390 0754 7034 EUR", "BE68 5390 0754 7034", "iban"), ("iban BE68 5390 0754 7034 PAID", "BE68 5390 0754 7034", "iban"), ("on 12-25-2024 at", "12-25-2024", "date"), ("on 12.25.2024", "12.25.2024", "date"), (f"from 10.0.0.4 {card}", card, "card"),
+    ):
+        (f,) = P.find(text, KEY)
+        assert (text[f[0] : f[1]], f[2]) == (value, kind), text
+        assert [x[2] for x in P.find(P.replaced(text, [f]), KEY)] == [kind], text
+
+
+def test_month_first_dates_stay_apart():
+    days = [datetime.date(2001, 1, 1) + datetime.timedelta(i) for i in range(700)]
+    news = {P.find(f"on {d:%m-%d-%Y}", KEY)[0][3] for d in days}
+    assert len(news) == 700 and all(P.find(n, KEY) for n in news)

@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data (operator 8).
 
-Numbers and dates are found by pattern, validated (check digits, calendar, numbering rules)
-and replaced by a keyed Feistel permutation of the values of their own format. Equal values
+Numbers and dates are found by pattern, validated (check digits, calendar, numbering rules;
+what is not valid is read again with fewer groups, then from its next group on) and replaced by a keyed Feistel permutation of the values of their own format. Equal values
 get equal pseudonyms in every document, different values different ones, and a pseudonym
 passes the same validation as its original. Mail names are permuted letter by letter class.
 
@@ -153,16 +153,19 @@ def _date(text: str, key: bytes) -> str | None:
     """Year first, or day or month first with / . or -, from 1900 to 2099, permuted within those days."""
     parts = re.split(r"\D", text)
     sign = text[4] if len(parts[0]) == 4 else text[len(parts[0])]
-    order = "ymd" if len(parts[0]) == 4 else "dmy" if sign != "/" or int(parts[0]) > 12 else "mdy"
-    named = dict(zip(order, map(int, parts), strict=True))
-    try:
-        day = datetime.date(named["y"], named["m"], named["d"]).toordinal()
-    except ValueError:
-        return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    orders = ("ymd",) if len(parts[0]) == 4 else ("dmy", "mdy") if sign != "/" or int(parts[0]) > 12 else ("mdy",)
+    for order in orders:
+        named = dict(zip(order, map(int, parts), strict=True))
+        try:
+            day = datetime.date(named["y"], named["m"], named["d"]).toordinal()
+        except ValueError:
+            continue
+        if FIRST_DAY <= day <= LAST_DAY:
+            break
+    else:
         return None
-    # a day above 12 decides between the two slash forms, so such dates stay among themselves
-    valid = (lambda x: (datetime.date.fromordinal(x + FIRST_DAY).day > 12) == (named["d"] > 12)) if sign == "/" and order != "ymd" else None
+    # a day above 12 decides between the two slash forms and shows month first with - or ., so such dates stay among themselves
+    valid = (lambda x: (datetime.date.fromordinal(x + FIRST_DAY).day > 12) == (named["d"] > 12)) if order == "mdy" or (sign == "/" and order == "dmy") else None
     new = datetime.date.fromordinal(permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, _tweaked(key, "date", "split" if valid else ""), valid) + FIRST_DAY)
     written = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
     return sign.join(written[x] for x in order)
@@ -173,23 +176,36 @@ def _mail(text: str, key: bytes) -> str | None:
     return f"{permute_classes(name, 'mail', key)}@{domain}"
 
 
-NUMBERS = re.compile(
-    r"(?<![A-Za-z0-9_])(?:"
-    r"(?P<address>\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
-    r"|(?P<date>\d{4}(?P<s1>[-/.])\d{2}(?P=s1)\d{2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})"
-    r"|(?P<phone>\+?(?:\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?:\+?1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}|\+\d(?:[ .-]?\d){7,14})"
-    r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
-    r")(?![A-Za-z0-9_])",
-    re.ASCII,
-)
+FORMS = {
+    "address": r"\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
+    "date": r"\d{4}(?P<s1>[-/.])\d{2}(?P=s1)\d{2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4}",
+    "ssn": r"\d{3}-\d{2}-\d{4}",
+    "card": r"\d(?:[ -]?\d){12,18}",
+    "phone": r"\+?(?:\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?:\+?1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}|\+\d(?:[ .-]?\d){7,14}",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+}
+NUMBERS = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(f"(?P<{k}>{x})" for k, x in FORMS.items()) + r")(?![A-Za-z0-9_])", re.ASCII)
+ALONE = {k: re.compile(x, re.ASCII) for k, x in FORMS.items()}
+#: Where a group of letters and digits ends, and more characters than any of the forms has.
+GROUP_END = re.compile(r"[A-Za-z0-9](?![A-Za-z0-9_])", re.ASCII)
+LONGEST = 64
 MAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 NAME_BEFORE = re.compile(r"[A-Za-z0-9._%+-]")
 MAKERS = {"address": _address, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone, "iban": _iban}
 HAS_NUMBER = re.compile(r"\d\d", re.ASCII)
 
 
+def reading(text: str, start: int, stop: int, key: bytes) -> tuple[int, str, str] | None:
+    """(end, kind, pseudonym) of the first valid reading from ``start``: by kind, the one of most groups first."""
+    ends = [e for m in GROUP_END.finditer(text, start, min(len(text), start + LONGEST)) if (e := m.end()) <= stop and (e == len(text) or not (text[e].isascii() and (text[e].isalnum() or text[e] == "_")))]
+    for kind, form in ALONE.items():
+        for end in reversed(ends):
+            if form.fullmatch(text, start, end) and not (kind == "address" and re.match(r"\.?[0-9]", text[end : end + 2])):
+                if (new := MAKERS[kind](text[start:end], key)) is not None:
+                    return end, kind, new
+    return None
+
+
 def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of each validated value, in order, without overlaps."""
     out: list[tuple[int, int, str, str]] = []
@@ -205,13 +221,19 @@ def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
         at = text.find("@", max(at + 1, last))
     mails, free = list(out), 0
     if HAS_NUMBER.search(text):
-        for m in NUMBERS.finditer(text):
-            while free < len(mails) and mails[free][1] <= m.start():
+        at = 0
+        while m := NUMBERS.search(text, at):
+            start = m.start()
+            while free < len(mails) and mails[free][1] <= start:
                 free += 1
-            if free < len(mails) and mails[free][0] < m.end():
-                continue
-            if (new := MAKERS[m.lastgroup](m[0], key)) is not None:
-                out.append((m.start(), m.end(), m.lastgroup, new))
+            stop = mails[free][0] if free < len(mails) else len(text)
+            if stop <= start:
+                at = mails[free][1]
+            elif found := reading(text, start, stop, key):
+                at = found[0]
+                out.append((start, *found))
+            else:  # an address that stays is read whole, all else from its next group on
+                at = m.end() if m["address"] else start + 1
     return sorted(out)
 
 
