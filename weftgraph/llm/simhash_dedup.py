@@ -32,6 +32,8 @@ PIECE = 1 << 16
 #: A stage's near duplicates: words of a shingle, least similarity (also as a fraction), hashes of a sketch.
 SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 128
 OF, IN = 4, 5
+#: A prefix has one shingle in so many more than it needs, and two prefixes then share as many more.
+EXTRA = 20
 SHINGLE_PRINT = 3
 #: Texts sampled for the order of shingles, and how many common ones that order knows; both steer work, never a result.
 ORDER_TEXTS, ORDER_SHINGLES = 10_000, 1 << 19
@@ -158,14 +160,14 @@ def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np
 
 
 def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first shingles in the order rare to common, then by hash: two sets SIMILARITY alike have one of these in common.
+    """The first shingles in the order rare to common, then by hash: two sets SIMILARITY alike have 1 + n // EXTRA of these in common, n the smaller one's size.
 
-    Such sets share at least OF / IN of each, so neither can have all shared ones behind its prefix.
+    Such sets share at least OF / IN of each, so of the shared ones no more can lie behind either prefix.
     """
     if len(common):
         at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
         shingles = shingles[np.argsort(np.where(common[at] == shingles, often[at], 0), kind="stable")]
-    return shingles[: len(shingles) + OF * len(shingles) // -IN + 1]
+    return shingles[: len(shingles) + OF * len(shingles) // -IN + 1 + len(shingles) // EXTRA]
 
 
 def described(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -209,34 +211,29 @@ def alike(pairs: DataFrame, texts: DataFrame, docs: DataFrame, text: str) -> Dat
     """The (a, b) of ``pairs`` whose shingles are SIMILARITY alike, by all shingles of both texts."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     seals = texts.join(ends, "node").select("node", "seal")
-    read = docs.select(column(docs, text, "string").alias("text")).withColumn("seal", F.xxhash64("text")).join(seals, "seal").select("node", "text").dropDuplicates(["node"])
-
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"node": batch["node"], "set": pa.array([shingle_set(x.as_py()).tobytes() for x in batch["text"]], pa.binary())})
+    read = cut(docs.select(column(docs, text, "string").alias("text")).withColumn("seal", F.xxhash64("text")).join(seals, "seal").select("node", "text").dropDuplicates(["node"]))
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            for x, y in zip(batch["text_a"], batch["text_b"], strict=True):
+                x, y = shingle_set(x.as_py()), shingle_set(y.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both * IN >= (len(x) + len(y) - both) * OF)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    made = cut(read.mapInArrow(sets, "node long, set binary"))
     for end in ("a", "b"):
-        pairs = pairs.join(made.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
-    return cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"))
+        pairs = pairs.join(read.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
+    return cut(pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
 
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, doc_id, seal, root): each distinct word sequence, its row with the smallest id, and its group.
 
     Texts are linked if their fingerprints are (as in ``near_duplicates``), or if their shingles
-    are SIMILARITY alike. Texts so alike share a shingle of their prefixes. Each text is first
+    are SIMILARITY alike. Texts so alike share shingles of their prefixes. Each text is first
     tried against the least holder with which it shares most of them; then all pairs that share
-    one and are not in one group yet are tried, so that groups come out as from all pairs.
+    enough and are not in one group yet are tried, so that groups come out as from all pairs.
     """
     found = described(docs, key, text).groupBy("exact").agg(F.min_by(F.struct("doc_id", "seal", "print", "n", "prefix"), F.struct(F.col("doc_id").isNull(), "doc_id", "seal")).alias("x"))
     texts = cut(found.select(F.col("exact").alias("node"), "x.*"))
@@ -245,7 +242,8 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     bucket = Window.partitionBy("shingle")
     holders = texts.select("node", "n", F.explode("prefix").alias("shingle"))
     shared = cut(holders.withColumn("least", F.min("node").over(bucket)).withColumn("most", F.max("node").over(bucket)).where("least <> most").select("shingle", "node", "n", "least"))
-    tries = shared.where("least <> node").groupBy("node", "least").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("least", F.struct("k", "least")).alias("a"))
+    enough = lambda n: 1 + F.floor(n / EXTRA)
+    tries = shared.where("least <> node").groupBy("node", "least").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") * 3 >= enough(F.col("n"))).groupBy("node").agg(F.max_by("least", F.struct("k", "least")).alias("a"))
     linked = same.union(alike(cut(tries.select("a", F.col("node").alias("b"))), texts, docs, text))
     roots = components(linked)
     placed = shared.select("shingle", "node", "n").join(roots, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -253,7 +251,7 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     open_ = cut(open_)
     other = open_.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
     apart = open_.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & (F.least("n", "m") * IN >= F.greatest("n", "m") * OF))
-    rest = alike(cut(apart.select(F.col("node").alias("a"), "b").distinct()), texts, docs, text)
+    rest = alike(cut(apart.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("k"), F.first(F.least("n", "m")).alias("n")).where(F.col("k") >= enough(F.col("n"))).select("a", "b")), texts, docs, text)
     if not rest.isEmpty():
         roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a <> b").union(rest))
     return texts.select("node", "doc_id", "seal").join(roots, "node", "left").select("node", "doc_id", "seal", F.coalesce("root", "node").alias("root"))
