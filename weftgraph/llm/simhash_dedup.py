@@ -16,6 +16,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -141,6 +142,12 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
 
 
+@lru_cache(maxsize=256)
+def set_of(text: str | None) -> np.ndarray:
+    """The same, kept for texts that are asked for again."""
+    return shingle_set(text)
+
+
 def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample hold, ascending, and in how many of them."""
 
@@ -217,7 +224,7 @@ def alike(pairs: DataFrame, texts: DataFrame, docs: DataFrame, text: str) -> Dat
         for batch in batches:
             ok = []
             for x, y in zip(batch["text_a"], batch["text_b"], strict=True):
-                x, y = shingle_set(x.as_py()), shingle_set(y.as_py())
+                x, y = set_of(x.as_py()), set_of(y.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both * IN >= (len(x) + len(y) - both) * OF)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -242,6 +249,8 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     bucket = Window.partitionBy("shingle")
     holders = texts.select("node", "n", F.explode("prefix").alias("shingle"))
     shared = cut(holders.withColumn("least", F.min("node").over(bucket)).withColumn("most", F.max("node").over(bucket)).where("least <> most").select("shingle", "node", "n", "least"))
+    # alike sets share OF / (OF + IN) of both sizes, of which only what is behind the prefix that ends first may be outside both prefixes
+    behind = lambda n: F.ceil(n * OF / IN - 1e-6) - 1 - F.floor(n / EXTRA)
     enough = lambda n: 1 + F.floor(n / EXTRA)
     tries = shared.where("least <> node").groupBy("node", "least").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") * 3 >= enough(F.col("n"))).groupBy("node").agg(F.max_by("least", F.struct("k", "least")).alias("a"))
     linked = same.union(alike(cut(tries.select("a", F.col("node").alias("b"))), texts, docs, text))
@@ -251,7 +260,7 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     open_ = cut(open_)
     other = open_.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
     apart = open_.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & (F.least("n", "m") * IN >= F.greatest("n", "m") * OF))
-    rest = alike(cut(apart.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("k"), F.first(F.least("n", "m")).alias("n")).where(F.col("k") >= enough(F.col("n"))).select("a", "b")), texts, docs, text)
+    rest = alike(cut(apart.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("k"), F.first(F.ceil((F.col("n") + F.col("m")) * OF / (OF + IN) - 1e-6) - F.greatest(behind(F.col("n")), behind(F.col("m")))).alias("need")).where(F.col("k") >= F.col("need")).select("a", "b")), texts, docs, text)
     if not rest.isEmpty():
         roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a <> b").union(rest))
     return texts.select("node", "doc_id", "seal").join(roots, "node", "left").select("node", "doc_id", "seal", F.coalesce("root", "node").alias("root"))
