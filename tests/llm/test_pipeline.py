@@ -1,5 +1,4 @@
 import corpus_pipeline as C
-from weftgraph.llm import simhash_dedup as S
 from weftgraph.llm.language_id import UNKNOWN
 
 
@@ -31,17 +30,6 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in stage(spark, "near_duplicates", docs).collect()) == [1, 7, 8, 9]
 
 
-def test_similarity_of_sketches():
-    import numpy as np
-
-    pack = lambda x: np.array(sorted(x)[: S.SKETCH], np.uint32).tobytes()
-    assert S.similarity(pack(range(10)), pack(range(5, 15))) == 5 / 15
-    assert S.similarity(pack([]), pack([])) == 1.0 and S.similarity(pack([1]), pack([])) == 0.0
-    rng = np.random.default_rng(1)
-    x = rng.integers(0, 1 << 32, 3000)
-    assert abs(S.similarity(pack(x[:2700]), pack(x[300:])) - 0.8) < 0.1
-
-
 def test_stages_with_awkward_documents(spark, awkward, nothing):
     columns = C.COLUMNS
     for docs in (awkward.select(*columns), nothing.select(*columns)):

@@ -133,3 +133,30 @@ def test_different_texts_with_null_or_equal_ids(spark):
     rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (None, texts[4]), ((1 << 63) - 1, texts[5]), (None, texts[0])]
     kept = S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(str, kept)) == sorted(map(str, spark.createDataFrame(rows[:5] + rows[6:7], "doc_id long, text string").collect()))
+
+
+def test_clusters_against_all_pairs(spark):
+    """Near copies with few and many edits, versions that drift, shortened ones, and texts that share a form."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    texts = []
+    for size in (60, 150):
+        base = [word() for _ in range(size)]
+        pool = [word() for _ in range(6)]
+        for _ in range(45):  # edits of one text, of new words and of words that several take
+            words = list(base)
+            for at in rng.sample(range(size), rng.randint(1, size // 18)):
+                words[at] = rng.choice(pool) if rng.random() < 0.4 else word()
+            texts.append(" ".join(words))
+        words = list(base)
+        for _ in range(25):  # each version differs little from the one before
+            words[rng.randrange(size)] = word()
+            texts.append(" ".join(words))
+        for _ in range(15):
+            low = rng.randint(0, size // 4)
+            texts.append(" ".join(base[low : low + size - size // 4]))
+        for _ in range(15):
+            texts.append(" ".join(base[: size * 3 // 4] + [word() for _ in range(size // 4)]))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in S.one_of_each(docs).collect()) == kept_by_hand(texts)

@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import column, cut, table
@@ -30,8 +30,8 @@ BITS = 64
 SEED = 42
 #: Hashes whose bits are unpacked at once.
 PIECE = 1 << 16
-#: A stage's near duplicates: words of a shingle, least similarity (also as a fraction), hashes of a sketch.
-SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 128
+#: A stage's near duplicates: words of a shingle, least similarity (also as a fraction).
+SHINGLE, SIMILARITY = 5, 0.8
 OF, IN = 4, 5
 #: A prefix has one shingle in so many more than it needs, and two prefixes then share as many more.
 EXTRA = 20
@@ -178,60 +178,145 @@ def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.nd
 
 
 def described(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, seal, exact, print, n, prefix) of each text, words as above.
+    """(doc_id, seal, exact, print, n, prefix, hot) of each text, words as above.
 
     ``seal`` names the text and ``exact`` its word sequence, ``print`` is the fingerprint of
-    SHINGLE_PRINT-word shingles, ``n`` counts the distinct SHINGLE-word shingles.
+    SHINGLE_PRINT-word shingles, ``n`` counts the distinct SHINGLE-word shingles. The prefix's
+    shingles are in two arrays: those that the sample shows to be common are ``hot``.
     """
     import xxhash
 
     order = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text))
 
-    def one(text: str | None) -> tuple[int, int, int, np.ndarray]:
+    def one(text: str | None) -> tuple[bytes, int, int, np.ndarray, np.ndarray]:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         shingles = shingle_set(text)
-        return xxhash.xxh3_64_intdigest(b" ".join(words)), fingerprint(text, SHINGLE_PRINT), len(shingles), prefix(shingles, *order.value).view(np.int64)
+        first = prefix(shingles, *order.value)
+        hot = np.isin(first, order.value[0])
+        return xxhash.xxh3_128_digest(b" ".join(words)), fingerprint(text, SHINGLE_PRINT), len(shingles), first[~hot].view(np.int64), first[hot].view(np.int64)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            exact, prints, n, first = zip(*map(one, batch["text"].to_pylist()), strict=True) if batch.num_rows else ((),) * 4
+            exact, prints, n, rare, hot = zip(*map(one, batch["text"].to_pylist()), strict=True) if batch.num_rows else ((),) * 5
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch["doc_id"], "seal": batch["seal"], "exact": pa.array(np.array(exact, np.uint64).view(np.int64)), "print": pa.array(np.array(prints, np.uint64).view(np.int64)),
-                "n": pa.array(n, pa.int32()), "prefix": pa.array(first, pa.list_(pa.int64())),
+                "doc_id": batch["doc_id"], "seal": batch["seal"], "exact": pa.array(exact, pa.binary()), "print": pa.array(np.array(prints, np.uint64).view(np.int64)),
+                "n": pa.array(n, pa.int32()), "prefix": pa.array(rare, pa.list_(pa.int64())), "hot": pa.array(hot, pa.list_(pa.int64())),
             })
 
     picked = docs.select(column(docs, key, "long").alias("doc_id"), column(docs, text, "string").alias("text")).withColumn("seal", F.xxhash64("text"))
-    return picked.mapInArrow(work, "doc_id long, seal long, exact long, print long, n int, prefix array<long>")
+    return picked.mapInArrow(work, "doc_id long, seal long, exact binary, print long, n int, prefix array<long>, hot array<long>")
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets from their sketches: exact for sets within SKETCH, else from the least hashes of both."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    least = np.union1d(x, y)
-    if max(len(x), len(y)) >= SKETCH:
-        least = least[:SKETCH]
-    both = np.isin(least, x, assume_unique=True) & np.isin(least, y, assume_unique=True)
-    return float(both.mean()) if len(least) else 1.0
+def compared(pairs: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str, keep_rest: bool = False) -> DataFrame:
+    """(a, b, alike, both, rest) of the (a, b) of ``pairs``, by all shingles of both texts.
 
-
-def alike(pairs: DataFrame, texts: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The (a, b) of ``pairs`` whose shingles are SIMILARITY alike, by all shingles of both texts."""
+    ``both`` counts the shingles that they share, ``rest`` has those of b only if asked for.
+    """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    seals = texts.join(ends, "node").select("node", "seal")
-    read = cut(docs.select(column(docs, text, "string").alias("text")).withColumn("seal", F.xxhash64("text")).join(seals, "seal").select("node", "text").dropDuplicates(["node"]))
+    wanted = texts.join(ends, "node").select("node", "seal", F.col("doc_id").alias("id"))
+    named = docs.select(column(docs, key, "long").alias("doc_id"), column(docs, text, "string").alias("text")).withColumn("seal", F.xxhash64("text"))
+    # by id and text, so that of many copies one row meets it; rows equal in both are one
+    read = cut(named.join(wanted, (named["seal"] == wanted["seal"]) & named["doc_id"].eqNullSafe(wanted["id"])).select("node", "text").dropDuplicates(["node"]))
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            ok, shared, rest = [], [], []
             for x, y in zip(batch["text_a"], batch["text_b"], strict=True):
                 x, y = set_of(x.as_py()), set_of(y.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                there = np.isin(y, x, assume_unique=True)
+                both = int(np.count_nonzero(there))
                 ok.append(both * IN >= (len(x) + len(y) - both) * OF)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                shared.append(both)
+                rest.append(y[~there].view(np.int64) if keep_rest else None)
+            yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"], "alike": pa.array(ok, pa.bool_()), "both": pa.array(shared, pa.int32()), "rest": pa.array(rest, pa.list_(pa.int64()))})
 
     for end in ("a", "b"):
         pairs = pairs.join(read.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
-    return cut(pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
+    return cut(pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, alike boolean, both int, rest array<long>"))
+
+
+def enough(n: Column) -> Column:
+    """How many shingles of their prefixes two alike texts share at least, ``n`` the smaller one's shingles."""
+    return 1 + F.floor(n / EXTRA)
+
+
+def needed(n: Column, m: Column) -> Column:
+    """How many shingles two alike texts of ``n`` and ``m`` share at least."""
+    return F.ceil((n + m) * OF / (OF + IN) - 1e-6)
+
+
+def behind(n: Column) -> Column:
+    """How many shingles lie behind a prefix."""
+    return F.ceil(n * OF / IN - 1e-6) - 1 - F.floor(n / EXTRA)
+
+
+def shared_prefixes(texts: DataFrame) -> DataFrame:
+    """(shingle, node, n, holders) of the prefixes' shingles that several texts hold."""
+    of = lambda c: texts.select("node", "n", F.explode(c).alias("shingle"))
+    rare = of("prefix").withColumn("holders", F.count("*").over(Window.partitionBy("shingle")))
+    # a common shingle's holders may be a third of all texts: they are counted before the shuffle and never meet in one task
+    hot = of("hot")
+    hot = hot.join(hot.groupBy("shingle").agg(F.count("*").alias("holders")), "shingle")
+    return rare.select("shingle", "node", "n", "holders").union(hot.select("shingle", "node", "n", "holders")).where("holders > 1")
+
+
+def first_partners(shared: DataFrame) -> DataFrame:
+    """(a, b): each text b and one text a of its buckets, by (shingle, node, n, holders).
+
+    A bucket's representative is the text whose shingles have the most holders: near copies
+    of one text then all try that text, and not each other.
+    """
+    weights = shared.groupBy("node").agg(F.sum(F.log2("holders")).alias("weight"))
+    weighed = shared.join(weights, "node")
+    least = weighed.groupBy("shingle").agg(F.max(F.struct("weight", "node")).alias("top")).select("shingle", F.col("top.node").alias("a"))
+    met = shared.join(least, "shingle").where("a <> node")
+    counts = met.groupBy("node", "a").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    return counts.groupBy("node").agg(F.max_by(F.struct("a", "k", "n"), F.struct("k", "a")).alias("x")).select(F.col("x.a").alias("a"), F.col("node").alias("b"), "x.k", "x.n")
+
+
+def pairs_left(shared: DataFrame, placed: DataFrame) -> DataFrame:
+    """(a, b) that may be alike and are in no one group yet, but for those that one common partner settles.
+
+    ``placed`` has (node, root, of, both): of is the text that a node was tried with (its own
+    number if none) and both what they share. Two texts tried with the same one share no more
+    of its shingles than ``both``; whether they share others, ``pairs_by_rest`` tells.
+    """
+    rows = shared.select("shingle", "node", "n").join(placed, "node")
+    sides = rows.groupBy("shingle", "of").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least"))
+    across = sides.groupBy("shingle").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.min("low").alias("low"), F.max("high").alias("high")).where("x <> y and low <> high").select("shingle")
+    one = sides.join(across, "shingle", "left_semi").select("shingle", "of")
+    meeting = one.join(one.select("shingle", F.col("of").alias("of_b")), "shingle").where("of < of_b")
+    left = meeting.join(rows, ["shingle", "of"])
+    other = rows.select("shingle", F.col("of").alias("of_b"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
+    sized = (F.col("root") != F.col("root_b")) & (F.least("n", "m") * IN >= F.greatest("n", "m") * OF)
+    crossing = left.join(other, ["shingle", "of_b"]).where(sized).select("node", "b", "n", "m")
+    # tried with one text longer than they are, two texts may share enough of its shingles alone
+    within = rows.join(sides.where("low <> high").select("shingle", "of", "least"), ["shingle", "of"]).where((F.col("n") + F.col("least")) * OF <= F.col("both") * (OF + IN))
+    again = within.select("shingle", "of", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"), F.col("both").alias("both_b"))
+    inside = within.join(again, ["shingle", "of"]).where((F.col("node") < F.col("b")) & sized & ((F.col("n") + F.col("m")) * OF <= F.least("both", "both_b") * (OF + IN))).select("node", "b", "n", "m")
+    met = crossing.union(inside).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "n", "m")
+    counts = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return counts.where(F.col("k") >= needed(F.col("n"), F.col("m")) - F.greatest(behind(F.col("n")), behind(F.col("m")))).select("a", "b")
+
+
+def pairs_by_rest(rest: DataFrame, placed: DataFrame) -> DataFrame:
+    """(a, b) tried with the same text that share enough of what it does not have; ``rest`` has (shingle, of, node, n)."""
+    rows = rest.join(placed.select("node", "root", "both"), "node")
+    mixed = rows.groupBy("shingle", "of").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle", "of")
+    rows = rows.join(mixed, ["shingle", "of"])
+    other = rows.select("shingle", "of", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"), F.col("both").alias("both_b"))
+    met = rows.join(other, ["shingle", "of"]).where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & (F.least("n", "m") * IN >= F.greatest("n", "m") * OF))
+    counts = met.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"), F.first(F.least("both", "both_b")).alias("both"))
+    return counts.where(F.col("k") >= needed(F.col("n"), F.col("m")) - F.col("both")).select("a", "b")
+
+
+def joined_groups(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The (node, root) of ``roots`` with further links."""
+    return links_of(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a <> b").union(links))
+
+
+def links_of(edges: DataFrame) -> DataFrame:
+    return components(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,30 +324,40 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     Texts are linked if their fingerprints are (as in ``near_duplicates``), or if their shingles
     are SIMILARITY alike. Texts so alike share shingles of their prefixes. Each text is first
-    tried against the least holder with which it shares most of them; then all pairs that share
-    enough and are not in one group yet are tried, so that groups come out as from all pairs.
+    tried with one representative. Two texts tried with the same one are then only tried if
+    they share enough of what that one does not have, after one representative for these
+    shingles; all other pairs that share enough of their prefixes and are not in one group
+    yet are tried, so that groups come out as from all pairs.
     """
-    found = described(docs, key, text).groupBy("exact").agg(F.min_by(F.struct("doc_id", "seal", "print", "n", "prefix"), F.struct(F.col("doc_id").isNull(), "doc_id", "seal")).alias("x"))
-    texts = cut(found.select(F.col("exact").alias("node"), "x.*"))
+    found = described(docs, key, text).groupBy("exact").agg(F.min_by(F.struct("doc_id", "seal", "print", "n", "prefix", "hot"), F.struct(F.col("doc_id").isNull(), "doc_id", "seal")).alias("x"))
+    texts = cut(found.select(F.monotonically_increasing_id().alias("node"), "x.*"))
     balls = texts.select("node", "print", F.explode(F.lit(flips(1))).alias("flip")).select("node", F.col("print").bitwiseXOR(F.col("flip")).alias("variant"))
     same = cut(balls.withColumn("a", F.min("node").over(Window.partitionBy("variant"))).where("a <> node").select("a", F.col("node").alias("b")).distinct())
-    bucket = Window.partitionBy("shingle")
-    holders = texts.select("node", "n", F.explode("prefix").alias("shingle"))
-    shared = cut(holders.withColumn("least", F.min("node").over(bucket)).withColumn("most", F.max("node").over(bucket)).where("least <> most").select("shingle", "node", "n", "least"))
-    # alike sets share OF / (OF + IN) of both sizes, of which only what is behind the prefix that ends first may be outside both prefixes
-    behind = lambda n: F.ceil(n * OF / IN - 1e-6) - 1 - F.floor(n / EXTRA)
-    enough = lambda n: 1 + F.floor(n / EXTRA)
-    tries = shared.where("least <> node").groupBy("node", "least").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") * 3 >= enough(F.col("n"))).groupBy("node").agg(F.max_by("least", F.struct("k", "least")).alias("a"))
-    linked = same.union(alike(cut(tries.select("a", F.col("node").alias("b"))), texts, docs, text))
-    roots = components(linked)
-    placed = shared.select("shingle", "node", "n").join(roots, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_ = placed.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low <> high").select("shingle", "node", "n", "root")
-    open_ = cut(open_)
-    other = open_.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-    apart = open_.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & (F.least("n", "m") * IN >= F.greatest("n", "m") * OF))
-    rest = alike(cut(apart.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("k"), F.first(F.ceil((F.col("n") + F.col("m")) * OF / (OF + IN) - 1e-6) - F.greatest(behind(F.col("n")), behind(F.col("m")))).alias("need")).where(F.col("k") >= F.col("need")).select("a", "b")), texts, docs, text)
-    if not rest.isEmpty():
-        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a <> b").union(rest))
+    shared = cut(shared_prefixes(texts))
+    tries = cut(first_partners(shared).where(F.col("k") * 3 >= enough(F.col("n"))).select("a", "b"))
+    tried = compared(tries, texts, docs, key, text, keep_rest=True)
+    roots = links_of(same.union(tried.where("alike").select("a", "b")))
+
+    def places(roots: DataFrame) -> DataFrame:
+        # a representative counts as tried with itself
+        of = tried.select(F.col("b").alias("node"), F.col("a").alias("of"), "both").join(tried.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+        own = texts.select("node", "n").join(of, "node", "left").join(roots, "node", "left")
+        return own.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("of", "node").alias("of"), F.coalesce("both", "n").alias("both"))
+
+    placed = cut(places(roots))
+    mixed = placed.groupBy("of").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("of")
+    sized = texts.select(F.col("node").alias("b"), "n")
+    rest = tried.join(mixed, tried["a"] == mixed["of"], "left_semi").join(sized, "b").select(F.explode("rest").alias("shingle"), F.col("a").alias("of"), F.col("b").alias("node"), "n")
+    rest = rest.join(rest.groupBy("shingle", "of").agg(F.count("*").alias("holders")).where("holders > 1"), ["shingle", "of"])
+    rest = cut(rest.join(placed.select("node", F.col("of").alias("own")), "node").where("of = own").drop("own"))
+    seconds = first_partners(rest.withColumn("shingle", F.struct("shingle", "of"))).select("a", "b")
+    linked = compared(cut(seconds), texts, docs, key, text).where("alike").select("a", "b")
+    roots = joined_groups(roots, linked)
+    placed = cut(places(roots))
+    left = cut(pairs_left(shared, placed).union(pairs_by_rest(rest, placed)).distinct())
+    linked = compared(left, texts, docs, key, text).where("alike").select("a", "b")
+    if not linked.isEmpty():
+        roots = joined_groups(roots, linked)
     return texts.select("node", "doc_id", "seal").join(roots, "node", "left").select("node", "doc_id", "seal", F.coalesce("root", "node").alias("root"))
 
 
