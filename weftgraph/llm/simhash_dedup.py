@@ -166,15 +166,20 @@ def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np
     return h[at], n[at]
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first shingles in the order rare to common, then by hash: two sets SIMILARITY alike have 1 + n // EXTRA of these in common, n the smaller one's size.
+def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles in the order rare to common, then by hash, in two parts: not common and common.
 
-    Such sets share at least OF / IN of each, so of the shared ones no more can lie behind either prefix.
+    Two sets SIMILARITY alike have 1 + n // EXTRA of these in common, n the smaller one's size:
+    they share at least OF / IN of each, so of the shared ones no more can lie behind either prefix.
     """
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        shingles = shingles[np.argsort(np.where(common[at] == shingles, often[at], 0), kind="stable")]
-    return shingles[: len(shingles) + OF * len(shingles) // -IN + 1 + len(shingles) // EXTRA]
+    size = len(shingles) + OF * len(shingles) // -IN + 1 + len(shingles) // EXTRA if len(shingles) else 0
+    if not len(common):
+        return shingles[:size], shingles[:0]
+    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+    known = np.where(common[at] == shingles, often[at], 0)
+    first = np.argsort(known, kind="stable")[:size]
+    hot = known[first] > 0
+    return shingles[first[~hot]], shingles[first[hot]]
 
 
 def described(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -191,9 +196,8 @@ def described(docs: DataFrame, key: str, text: str) -> DataFrame:
     def one(text: str | None) -> tuple[bytes, int, int, np.ndarray, np.ndarray]:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         shingles = shingle_set(text)
-        first = prefix(shingles, *order.value)
-        hot = np.isin(first, order.value[0])
-        return xxhash.xxh3_128_digest(b" ".join(words)), fingerprint(text, SHINGLE_PRINT), len(shingles), first[~hot].view(np.int64), first[hot].view(np.int64)
+        rare, hot = prefix(shingles, *order.value)
+        return xxhash.xxh3_128_digest(b" ".join(words)), fingerprint(text, SHINGLE_PRINT), len(shingles), rare.view(np.int64), hot.view(np.int64)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,15 +267,17 @@ def shared_prefixes(texts: DataFrame) -> DataFrame:
 def first_partners(shared: DataFrame) -> DataFrame:
     """(a, b): each text b and one text a of its buckets, by (shingle, node, n, holders).
 
-    A bucket's representative is the text whose shingles have the most holders: near copies
-    of one text then all try that text, and not each other.
+    A bucket's representative is the text whose shingles have the most holders. Of those with
+    which a text shares at least half as much as with any, and enough, the one with most is
+    tried: near copies of one text then all try that text, and not each other.
     """
     weights = shared.groupBy("node").agg(F.sum(F.log2("holders")).alias("weight"))
     weighed = shared.join(weights, "node")
-    least = weighed.groupBy("shingle").agg(F.max(F.struct("weight", "node")).alias("top")).select("shingle", F.col("top.node").alias("a"))
-    met = shared.join(least, "shingle").where("a <> node")
-    counts = met.groupBy("node", "a").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    return counts.groupBy("node").agg(F.max_by(F.struct("a", "k", "n"), F.struct("k", "a")).alias("x")).select(F.col("x.a").alias("a"), F.col("node").alias("b"), "x.k", "x.n")
+    least = weighed.groupBy("shingle").agg(F.max(F.struct("weight", "node")).alias("top")).select("shingle", "top")
+    met = shared.join(least, "shingle").where("top.node <> node")
+    counts = met.groupBy("node", "top").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") * 3 >= enough(F.col("n")))
+    most = counts.withColumn("most", F.max("k").over(Window.partitionBy("node"))).where("k * 2 >= most")  # a text has no more than its shingles
+    return most.groupBy(F.col("node").alias("b")).agg(F.max("top")["node"].alias("a")).select("a", "b")
 
 
 def pairs_left(shared: DataFrame, placed: DataFrame) -> DataFrame:
@@ -284,8 +290,11 @@ def pairs_left(shared: DataFrame, placed: DataFrame) -> DataFrame:
     rows = shared.select("shingle", "node", "n").join(placed, "node")
     sides = rows.groupBy("shingle", "of").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least"))
     across = sides.groupBy("shingle").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.min("low").alias("low"), F.max("high").alias("high")).where("x <> y and low <> high").select("shingle")
-    one = sides.join(across, "shingle", "left_semi").select("shingle", "of")
-    meeting = one.join(one.select("shingle", F.col("of").alias("of_b")), "shingle").where("of < of_b")
+    one = sides.join(across, "shingle", "left_semi").select("shingle", "of", "least")
+    meeting = one.join(one.select("shingle", F.col("of").alias("of_b"), F.col("least").alias("least_b")), "shingle").where("of < of_b")
+    # two of their texts share no more shingles than the two sides do
+    sharing = meeting.groupBy("of", "of_b").agg(F.count("*").alias("k"), F.least(F.min("least"), F.min("least_b")).alias("n")).where(F.col("k") >= enough(F.col("n")))
+    meeting = meeting.join(sharing, ["of", "of_b"], "left_semi").select("shingle", "of", "of_b")
     left = meeting.join(rows, ["shingle", "of"])
     other = rows.select("shingle", F.col("of").alias("of_b"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
     sized = (F.col("root") != F.col("root_b")) & (F.least("n", "m") * IN >= F.greatest("n", "m") * OF)
@@ -334,13 +343,12 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     balls = texts.select("node", "print", F.explode(F.lit(flips(1))).alias("flip")).select("node", F.col("print").bitwiseXOR(F.col("flip")).alias("variant"))
     same = cut(balls.withColumn("a", F.min("node").over(Window.partitionBy("variant"))).where("a <> node").select("a", F.col("node").alias("b")).distinct())
     shared = cut(shared_prefixes(texts))
-    tries = cut(first_partners(shared).where(F.col("k") * 3 >= enough(F.col("n"))).select("a", "b"))
+    tries = cut(first_partners(shared))
     tried = compared(tries, texts, docs, key, text, keep_rest=True)
     roots = links_of(same.union(tried.where("alike").select("a", "b")))
 
     def places(roots: DataFrame) -> DataFrame:
-        # a representative counts as tried with itself
-        of = tried.select(F.col("b").alias("node"), F.col("a").alias("of"), "both").join(tried.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+        of = tried.select(F.col("b").alias("node"), F.col("a").alias("of"), "both")
         own = texts.select("node", "n").join(of, "node", "left").join(roots, "node", "left")
         return own.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("of", "node").alias("of"), F.coalesce("both", "n").alias("both"))
 
@@ -349,9 +357,9 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     sized = texts.select(F.col("node").alias("b"), "n")
     rest = tried.join(mixed, tried["a"] == mixed["of"], "left_semi").join(sized, "b").select(F.explode("rest").alias("shingle"), F.col("a").alias("of"), F.col("b").alias("node"), "n")
     rest = rest.join(rest.groupBy("shingle", "of").agg(F.count("*").alias("holders")).where("holders > 1"), ["shingle", "of"])
-    rest = cut(rest.join(placed.select("node", F.col("of").alias("own")), "node").where("of = own").drop("own"))
-    seconds = first_partners(rest.withColumn("shingle", F.struct("shingle", "of"))).select("a", "b")
-    linked = compared(cut(seconds), texts, docs, key, text).where("alike").select("a", "b")
+    rest = cut(rest)
+    seconds = cut(first_partners(rest.withColumn("shingle", F.struct("shingle", "of"))))
+    linked = compared(seconds, texts, docs, key, text).where("alike").select("a", "b")
     roots = joined_groups(roots, linked)
     placed = cut(places(roots))
     left = cut(pairs_left(shared, placed).union(pairs_by_rest(rest, placed)).distinct())
