@@ -1,4 +1,8 @@
+import bisect
 import datetime
+import random
+import re
+import time
 
 from weftgraph.llm import pii_pseudonyms as P
 
@@ -63,9 +67,54 @@ def test_query(spark, awkward, nothing, folder):
     assert len(real) == 1000 and 20 < len(touched) < 200
     for r in real:
         assert (r["text"] != before[r["doc_id"]]) == bool(r["n_found"])
-        for span in filter(None, r["spans"].split(",")):
-            kind, a, b = span.split(":")
-            assert kind == "mail" and before[r["doc_id"]][int(a) : int(b)] not in r["text"] or kind != "mail"
+        found = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in filter(None, r["spans"].split(",")))]
+        text = before[r["doc_id"]]
+        assert [(a, b) for k, a, b in found if k == "mail"] == [m.span() for m in MAIL.finditer(text)]
+        assert values_left(text, found) == []
+        assert all(text[a:b] not in r["text"] for k, a, b in found if k in ("mail", "card", "iban"))
+
+
+MAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+
+
+def values_left(text, found):
+    """Valid values that no finding touches, by trying every piece between word ends."""
+    out = []
+    starts = [m.start() for m in re.finditer(r"(?<![A-Za-z0-9_])[A-Za-z0-9+(]", text, re.ASCII)]
+    ends = [m.end() for m in re.finditer(r"[A-Za-z0-9](?![A-Za-z0-9_])", text, re.ASCII)]
+    for kind, form in P.FORMS.items():
+        for i in starts:
+            for j in (j for j in ends[bisect.bisect_left(ends, i + 8) : bisect.bisect_right(ends, i + 44)] if any(c.isdigit() for c in text[i:j])):
+                if all(j <= a or i >= b for _, a, b in found) and re.fullmatch(form, text[i:j], re.ASCII) and P.MAKERS[kind](text[i:j], KEY):
+                    if not (kind == "address" and re.match(r"\.?\d", text[j : j + 2])):
+                        out.append((kind, text[i:j]))
+    return out
+
+
+def test_mails_in_one_pass_as_by_pattern():
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choices("ab.@-_ 1+", k=rng.randint(3, 24))).replace("1", rng.choice(["1", ".com", ".org"]))
+        assert [*P.mails(text)] == [m.span() for m in MAIL.finditer(text)], text
+
+
+def test_long_names_and_domains_take_linear_time():
+    began = time.monotonic()
+    for name in ("x" * 218, "7" * 309, "Ab9" * 3500, "n" * 1_000_000):
+        (f,) = P.find(f"to {name}@x.com now", KEY)
+        assert (f[0], f[1]) == (3, 9 + len(name)) and f[3] != f"{name}@x.com" and len(f[3]) == len(name) + 6
+        assert P.find(f"{name}@ ", KEY) == [] and P.find(f"{name} @x.com", KEY) == []
+    host = "d" * 251 + ".community"
+    assert P.find(f"a@{host}", KEY)[0][1] == 2 + len(host) and P.find("a@" + "e" * 300 + ".org", KEY)[0][1] == 306
+    assert P.find("a@" + "b.1" * 300_000, KEY) == [] and len(P.find("a@b.cc " * 100_000, KEY)) == 100_000
+    assert time.monotonic() - began < 60
+
+
+def test_pieces_of_long_names_are_one_to_one():
+    names = {P.permute_classes("a" * 63 + x + "b" * 60, "mail", KEY) for x in "abcdefgh"} | {P.permute_classes("a" * 100 + x, "mail", KEY) for x in "abcdefgh"}
+    assert len(names) == 16
+    same = P.permute_classes("c" * 128, "mail", KEY)
+    assert same[:64] != same[64:] and same == P.permute_classes("c" * 128, "mail", KEY)
 
 
 def test_values_beside_other_digits():

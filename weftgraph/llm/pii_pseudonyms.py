@@ -3,7 +3,8 @@
 Numbers and dates are found by pattern, validated (check digits, calendar, numbering rules;
 what is not valid is read again with fewer groups, then from its next group on) and replaced by a keyed Feistel permutation of the values of their own format. Equal values
 get equal pseudonyms in every document, different values different ones, and a pseudonym
-passes the same validation as its original. Mail names are permuted letter by letter class.
+passes the same validation as its original. Mail names are permuted letter by letter class,
+long ones in pieces.
 
 Defined cases: a null text stays null with no finding, an empty one stays empty; very long
 texts are worked through whole; repeated rows give equal rows; an empty table gives an empty
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from weftgraph.llm.common import column, table
 
 ROUNDS = 8
+#: Characters that are permuted at once.
+PIECE = 64
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -37,6 +40,8 @@ def permute(x: int, size: int, key: bytes, valid: Callable[[int], bool] | None =
     half = max(1, (size.bit_length() + 1) // 2)
     mask = (1 << half) - 1
     width = (half + 7) // 8
+    if width > hashlib.blake2b.MAX_DIGEST_SIZE:
+        raise ValueError("too large for one permutation: permute it in pieces")
     while True:
         left, right = x >> half, x & mask
         for i in range(ROUNDS):
@@ -52,10 +57,23 @@ def _tweaked(key: bytes, kind: str, shape: str) -> bytes:
 
 
 def permute_classes(text: str, kind: str, key: bytes, valid: Callable[[str], bool] | None = None) -> str:
-    """Permutes digits among digits and letters among letters of their case; the rest stays."""
-    places = [(i, next(a for a in (DIGITS, LOWER, UPPER) if c in a)) for i, c in enumerate(text) if c.isascii() and c.isalnum()]
-    size = value = 0
-    size = 1
+    """Permutes digits among digits and letters among letters of their case; the rest stays.
+
+    A text of over PIECE characters is permuted in pieces, each under its place and the whole
+    text's shape, so that the work grows with the length alone; ``valid`` is for one piece.
+    """
+    kinds = [next((a for a in (DIGITS, LOWER, UPPER) if c in a), "") for c in text]
+    shape = "".join({DIGITS: "0", LOWER: "a", UPPER: "A"}.get(a, "") for a in kinds)
+    if valid and len(text) > PIECE:
+        raise ValueError("only one piece can be held to a rule")
+    tweak = _tweaked(key, kind, shape)
+    pieces = range(0, len(text), PIECE)
+    return "".join(_permuted(text[at : at + PIECE], kinds[at : at + PIECE], _tweaked(tweak, kind, str(at)) if at else tweak, valid) for at in pieces)
+
+
+def _permuted(text: str, kinds: list[str], key: bytes, valid: Callable[[str], bool] | None) -> str:
+    places = [(i, alphabet) for i, alphabet in enumerate(kinds) if alphabet]
+    size, value = 1, 0
     for i, alphabet in places:
         size, value = size * len(alphabet), value * len(alphabet) + alphabet.index(text[i])
     if size == 1:
@@ -68,8 +86,7 @@ def permute_classes(text: str, kind: str, key: bytes, valid: Callable[[str], boo
             out[i] = alphabet[d]
         return "".join(out)
 
-    shape = "".join("0" if a is DIGITS else "a" if a is LOWER else "A" for _, a in places)
-    return spelled(permute(value, size, _tweaked(key, kind, shape), valid and (lambda x: valid(spelled(x)))))
+    return spelled(permute(value, size, key, valid and (lambda x: valid(spelled(x)))))
 
 
 def luhn(digits: str) -> bool:
@@ -189,8 +206,10 @@ ALONE = {k: re.compile(x, re.ASCII) for k, x in FORMS.items()}
 #: Where a group of letters and digits ends, and more characters than any of the forms has.
 GROUP_END = re.compile(r"[A-Za-z0-9](?![A-Za-z0-9_])", re.ASCII)
 LONGEST = 64
-MAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-NAME_BEFORE = re.compile(r"[A-Za-z0-9._%+-]")
+# A mail address: the whole run of name characters before the @, and the labels of a domain behind it.
+NAME = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+")
+TOP = re.compile(r"[A-Za-z]{2,}")
 MAKERS = {"address": _address, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone, "iban": _iban}
 HAS_NUMBER = re.compile(r"\d\d", re.ASCII)
 
@@ -206,29 +225,41 @@ def reading(text: str, start: int, stop: int, key: bytes) -> tuple[int, str, str
     return None
 
 
+def mails(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each mail address, in one pass: a name without empty parts and a domain that ends in a label of letters."""
+    last = 0
+    for m in NAME.finditer(text):
+        at = m.end() - 1
+        start = max(m.start(), last)
+        start = max(start, text.rfind("..", start, at) + 2) if ".." in text[start:at] else start
+        start += text[start] == "."
+        found = DOMAIN.match(text, at + 1)
+        if start >= at or text[at - 1] == "." or not found:
+            continue
+        end = found.end()
+        labels = found[0].split(".")
+        for label in reversed(labels[1:]):
+            end -= len(label)
+            if top := TOP.match(label):
+                last = end + top.end()
+                yield start, last
+                break
+            end -= 1
+
+
 def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of each validated value, in order, without overlaps."""
-    out: list[tuple[int, int, str, str]] = []
-    at, last = text.find("@"), 0
-    while at >= 0:
-        start = at
-        while start > last and NAME_BEFORE.match(text[start - 1]):
-            start -= 1
-        if m := MAIL.search(text, start, min(len(text), at + 256)):
-            if m.start() < at < m.end() and m.start() >= last:
-                out.append((m.start(), m.end(), "mail", _mail(m[0], key)))
-                last = m.end()
-        at = text.find("@", max(at + 1, last))
-    mails, free = list(out), 0
+    out = [(a, b, "mail", _mail(text[a:b], key)) for a, b in mails(text)] if "@" in text else []
+    taken, free = list(out), 0
     if HAS_NUMBER.search(text):
         at = 0
         while m := NUMBERS.search(text, at):
             start = m.start()
-            while free < len(mails) and mails[free][1] <= start:
+            while free < len(taken) and taken[free][1] <= start:
                 free += 1
-            stop = mails[free][0] if free < len(mails) else len(text)
+            stop = taken[free][0] if free < len(taken) else len(text)
             if stop <= start:
-                at = mails[free][1]
+                at = taken[free][1]
             elif found := reading(text, start, stop, key):
                 at = found[0]
                 out.append((start, *found))
@@ -268,5 +299,9 @@ def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str =
     return picked.mapInArrow(work, "doc_id long, text string, n_found long, kinds string, spans string")
 
 
-def op8_pii_pseudonyms(spark, sf_dir, secret: str = "a key that the deployment supplies"):
-    return pseudonymise(table(spark, sf_dir, "documents"), secret)
+#: Where a deployment keeps its key, and the key of a session that has none, which protects nothing.
+SECRET_SETTING, OPEN_SECRET = "spark.weftgraph.pii.secret", "a key that the deployment supplies"
+
+
+def op8_pii_pseudonyms(spark, sf_dir):
+    return pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get(SECRET_SETTING, OPEN_SECRET))
