@@ -2,7 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns documents with the same columns, but for
 the last, which returns what the encoding says about each document. ``run`` writes each
-stage's result as Parquet into the shared checkpoint folder and reads it again.
+stage's result as Parquet into the shared checkpoint folder and reads it again; a stage's
+folder is removed once the next one is written.
+
+Defined cases, for all stages: null ids, sources and languages are values like any other; an
+empty table gives an empty result with the same columns; columns beyond those of documents
+are dropped by the first stage. A null or empty text, or one without a letter, is rejected by
+``language``; given to a later stage, ``near_duplicates`` takes all of them for one text,
+``secrets`` leaves it as it is, ``mixing`` never takes it and ``encoding`` gives it no token.
+Very long texts are worked through whole. Repeated rows are one document to
+``near_duplicates``; the other stages treat each of them alike.
 """
 
 from __future__ import annotations
@@ -13,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe_chunks, language_id, secret_scan, simhash_dedup, source_mix
-from weftgraph.llm.common import table
+from weftgraph.llm.common import shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents of which no language explains this share of the n-grams are rejected.
@@ -56,12 +65,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    folder = f"{context.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         out = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = out
     return docs

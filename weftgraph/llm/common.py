@@ -15,13 +15,29 @@ def cut(df: DataFrame) -> DataFrame:
 
     A later failure then reads the files again instead of working through the whole plan.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or "/tmp/checkpoints")
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, as the session names it in ``spark.checkpoint.dir``; there is no other that all machines share."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(configured)
+    return context.getCheckpointDir()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer where the frame has such a column, for a column that is added for a while."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def column(df: DataFrame, name: str, kind: str):
     """A column as ``kind``; a null of that type where the frame has no such column."""
     return df[name].cast(kind) if name in df.columns else F.lit(None).cast(kind)

@@ -20,7 +20,8 @@ no anchor has to fit in one task.
 
 Defined cases: a null text counts as empty; texts under LENGTH bytes keep all; very long
 texts are worked through whole; order is by id and start alone, so rows with equal ids are
-one place and do not remove each other at equal starts; a null id comes after all others; an
+one place and do not remove each other at equal starts, but each gets back only what was found
+in its own text; rows with a null id come after all ids below 2**62, each text at a place drawn from it; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -42,7 +43,8 @@ GRAM = 32
 MOST_CONTEXTS, BLOCK_BYTES = 16_384, 1 << 21
 #: The sample that tells which anchors are common, in documents, and the share that makes them so.
 SAMPLE_DOCS, COMMON = 20_000, 0.005
-LAST_ID = (1 << 63) - 1
+#: Texts without an id have places from here on.
+NO_ID = 1 << 62
 
 SETTLED, PLAIN, SPREAD = 0, 1, 2
 
@@ -79,7 +81,8 @@ def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new = np.ones(len(m), bool)
     new[1:] = (m[1:] != m[:-1]) | (h[: len(m) - 1] == m[:-1])
     at = np.flatnonzero(new)
-    return m[at], at, np.diff(np.append(at, len(m)))
+    # 48 bits are enough to deal runs by: different anchors with equal ones only meet needlessly
+    return m[at] & ~np.uint64(0xFFFF), at, np.diff(np.append(at, len(m)))
 
 
 # ---- suffix sorting of a block ----
@@ -181,20 +184,18 @@ def equal_strings(contexts: list[bytes], starts: np.ndarray) -> tuple[np.ndarray
 
 # ---- the Spark jobs ----
 
-# A run's start (31 bits), its text's seal (24), its starts (7, at most LENGTH - GRAM + 1) and state (2) in one number:
-# runs are the bulk of what is shuffled.
-SEAL_BITS, N_BITS, STATE_BITS = 24, 7, 2
-RUN_DDL = "anchor long, context long, ord long, packed long"
+# A run's start, its starts (7 bits, at most LENGTH - GRAM + 1) and state (2) are in one number: runs are the bulk of what is shuffled.
+SEAL_BITS, N_BITS, STATE_BITS = 48, 7, 2
+RUN_DDL = "anchor long, context long, ord long, seal long, packed long"
 
 
-def pack(start: np.ndarray, seal: np.ndarray, n: np.ndarray, state: np.ndarray) -> np.ndarray:
-    return (((start << SEAL_BITS | seal) << N_BITS | n) << STATE_BITS) | state
+def pack(start: np.ndarray, n: np.ndarray, state: np.ndarray) -> np.ndarray:
+    return ((start << N_BITS | n) << STATE_BITS) | state
 
 
-def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, seal, n, state)"""
-    rest = packed >> STATE_BITS
-    return packed >> (SEAL_BITS + N_BITS + STATE_BITS), rest >> N_BITS & ((1 << SEAL_BITS) - 1), rest & ((1 << N_BITS) - 1), packed & ((1 << STATE_BITS) - 1)
+def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, n, state)"""
+    return packed >> (N_BITS + STATE_BITS), packed >> STATE_BITS & ((1 << N_BITS) - 1), packed & ((1 << STATE_BITS) - 1)
 
 
 def _digests(data: bytes, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -205,9 +206,13 @@ def _digests(data: bytes, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _sealed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Ids in their order, texts, and a hash of SEAL_BITS that tells apart the few texts under one id."""
+    """Ids in their order, texts, and a hash of SEAL_BITS that tells apart the texts under one id.
+
+    Texts without an id have a place and a seal of their own, from two hashes.
+    """
     picked = docs.select(column(docs, key, "long").alias("doc_id"), F.coalesce(column(docs, text, "string"), F.lit("")).alias("text"))
-    return picked.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("ord"), F.pmod(F.xxhash64("text"), F.lit(1 << SEAL_BITS)).alias("seal"), "text")
+    drawn = F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_ID))
+    return picked.select("doc_id", F.coalesce("doc_id", drawn).alias("ord"), F.pmod(F.xxhash64(F.lit(SEAL_BITS), "text"), F.lit(1 << SEAL_BITS)).alias("seal"), "text")
 
 
 def common_anchors(docs: DataFrame) -> np.ndarray:
@@ -251,7 +256,7 @@ def run_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
             settled[by] = again & ((ord_[by] != ord_[first]) | (start[by] != start[first]))
             state = np.where(settled, SETTLED, np.where(np.isin(anchor, shared.value), SPREAD, PLAIN))
             # in the order of the documents, where neighbours compress well
-            yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor), "context": pa.array(context), "ord": pa.array(ord_), "packed": pa.array(pack(start, seal, n, state))})
+            yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor), "context": pa.array(context), "ord": pa.array(ord_), "seal": pa.array(seal), "packed": pa.array(pack(start, n, state))})
 
     return docs.select("ord", "seal", "text").mapInArrow(work, RUN_DDL)
 
@@ -281,8 +286,8 @@ def _judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        a, c, ord_ = (batch[x].to_numpy() for x in ("anchor", "context", "ord"))
-        start, seal, n, state = unpack(batch["packed"].to_numpy())
+        a, c, ord_, seal = (batch[x].to_numpy() for x in ("anchor", "context", "ord", "seal"))
+        start, n, state = unpack(batch["packed"].to_numpy())
         settled = state == SETTLED
         # an anchor's only row, the usual case, needs no look
         lone = np.zeros(len(a), bool)
