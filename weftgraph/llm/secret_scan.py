@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import column, cut, table
+from weftgraph.llm.common import column, cut, fresh, table
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -36,7 +36,8 @@ BASE = ("assign", "access", "hex")
 
 # Further candidates: a known prefix, a signed token of three parts, a key block, a mixed string of high entropy.
 PREFIXED = re.compile(r"(?:gh[pousr]_|xox[abpr]-|sk-|glpat-|AIza)[A-Za-z0-9_-]{16,}")
-SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+SIGNED_PART = re.compile(r"[A-Za-z0-9_-]+")
+SIGNED_LEAST = 8
 BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 MIXED = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 MIXED_BITS = 4.0
@@ -67,18 +68,54 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def signed(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the signed tokens: three parts joined by dots, from the first ``eyJ`` of the first one; in one pass."""
+    parts: list[tuple[int, int]] = []
+    for m in SIGNED_PART.finditer(text):
+        if parts and not (m.start() == parts[-1][1] + 1 and text[m.start() - 1] == "."):
+            parts.clear()
+        parts.append(m.span())
+        if len(parts) == 3:
+            at = text.find("eyJ", *parts[0])
+            if at >= 0 and parts[0][1] - at >= 3 + SIGNED_LEAST and all(b - a >= SIGNED_LEAST for a, b in parts[1:]):
+                yield at, parts[2][1]
+                parts.clear()
+            else:
+                parts.pop(0)
+
+
+def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans that do not touch each other and cover the same places."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def more_spans(text: str, base: list[Span]) -> list[Span]:
-    """Candidates of the further patterns that touch no base span and no earlier candidate."""
-    taken, out = [(s[0], s[1]) for s in base], []
-    found = [(m.start(), m.end(), kind, m[0]) for kind, p, sign in (("prefixed", PREFIXED, None), ("signed", SIGNED, "eyJ"), ("block", BLOCK, "-----BEGIN")) if sign is None or sign in text for m in p.finditer(text)]
+    """Candidates of the further patterns that touch no base span and no earlier candidate, one kind after the other."""
+    kinds: list[list[Span]] = [[(m.start(), m.end(), "prefixed", m[0]) for m in PREFIXED.finditer(text)]]
+    kinds.append([(a, b, "signed", text[a:b]) for a, b in signed(text)] if "eyJ" in text else [])
+    kinds.append([(m.start(), m.end(), "block", m[0]) for m in BLOCK.finditer(text)] if "-----BEGIN" in text else [])
+    mixed = []
     for m in MIXED.finditer(text):
         v = m[0]
         if any(c.isdigit() for c in v) and any(c.islower() for c in v) and any(c.isupper() for c in v) and entropy(v) >= MIXED_BITS:
-            found.append((m.start(), m.end(), "mixed", v))
-    for s in sorted(found, key=lambda s: ORDER[s[2]]):
-        if all(s[1] <= a or s[0] >= b for a, b in taken):
-            taken.append((s[0], s[1]))
-            out.append(s)
+            mixed.append((m.start(), m.end(), "mixed", v))
+    kinds.append(mixed)
+    taken, out = union([(s[0], s[1]) for s in base]), []
+    for found in kinds:  # of one kind, in order and apart
+        free, i = [], 0
+        for s in found:
+            while i < len(taken) and taken[i][1] <= s[0]:
+                i += 1
+            if i == len(taken) or taken[i][0] >= s[1]:
+                free.append(s)
+        taken = union(taken + [(s[0], s[1]) for s in free]) if free else taken
+        out += free
     return out
 
 
@@ -148,18 +185,22 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner
 
 
 def mask_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
-    """``docs`` with each live-looking secret replaced by ``[kind]``; widely copied examples stay."""
-    live = scan_secrets(docs, key, text, owner).where("live_spans <> ''").select(F.col("doc_id").alias("live_id"), F.col("seal").alias("live_seal"), "live_spans").distinct()
-    joined = docs.join(live, docs[key].eqNullSafe(F.col("live_id")) & (F.xxhash64(docs[text]) == F.col("live_seal")), "left")
+    """``docs`` with each live-looking secret replaced by ``[kind]``; widely copied examples stay.
+
+    Rows of one id and text are masked alike, a null text stays null, and any other columns pass through.
+    """
+    id_, seal, spans = (fresh(docs, n) for n in ("live_id", "live_seal", "live_spans"))
+    live = scan_secrets(docs, key, text, owner).where("live_spans <> ''").select(F.col("doc_id").alias(id_), F.col("seal").alias(seal), F.col("live_spans").alias(spans)).distinct()
+    joined = docs.join(live, docs[key].cast("long").eqNullSafe(live[id_]) & (F.xxhash64(docs[text]) == live[seal]), "left")
     # spans are kind:start:end in code points, from 0; the text is put together from what lies between them
-    cuts = F.transform(F.split("live_spans", ","), lambda s: F.struct(F.split(s, ":")[0].alias("kind"), F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
+    cuts = F.transform(F.split(spans, ","), lambda s: F.struct(F.split(s, ":")[0].alias("kind"), F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda acc, c: F.struct(
         F.when(c["b"] <= acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.greatest(c["a"] - acc["at"], F.lit(0))), F.lit("["), c["kind"], F.lit("]"))).alias("out"),
         F.greatest(acc["at"], c["b"]).alias("at"),
     )
     masked = F.aggregate(cuts, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return joined.withColumn(text, F.when(F.col("live_spans").isNotNull(), masked).otherwise(F.col(text))).select(*docs.columns)
+    return joined.withColumn(text, F.when(F.col(spans).isNotNull(), masked).otherwise(F.col(text))).select(*docs.columns)
 
 
 def op6_secret_scan(spark, sf_dir):
