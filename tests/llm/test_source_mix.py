@@ -88,3 +88,16 @@ def test_mixed_repeats_whole_documents(spark):
     words = out.select(M.words(out["text"]).alias("n")).groupBy().sum("n").first()[0]
     total = docs.select(M.words(docs["text"]).alias("n")).groupBy().sum("n").first()[0]
     assert 1.3 * total < words < 1.7 * total
+
+
+def test_rows_without_words_lie_on_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_ROWS", 50)
+    docs = spark.range(400).selectExpr("id AS doc_id", "if(id < 3, 'a few words here', if(id % 2 = 0, '', null)) AS text", "'s' AS source")
+    rows = M.mix(docs).collect()
+    assert len(rows) == 400 and {r["size"] for r in rows} == {0, 4} and all(r["taken"] <= 2 * r["size"] for r in rows)
+
+
+def test_mixing_beside_columns_of_the_same_names(spark):
+    docs = spark.range(50).selectExpr("id AS doc_id", "repeat('word ', 100) AS text", "'s' AS source", "1 AS copies", "2 AS mix_id", "3 AS mix_source", "4 AS mix_size")
+    out = M.mixed(docs)
+    assert out.columns == docs.columns and 60 <= out.count() <= 90

@@ -19,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import column, cut, table
+from weftgraph.llm.common import column, cut, fresh, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 16
-#: Words of a shard, about: a shard's rows are ordered within one task.
-SHARD_WORDS = 1 << 21
+#: Words and rows of a shard, about: a shard's rows are ordered within one task.
+SHARD_WORDS, SHARD_ROWS = 1 << 21, 1 << 18
 #: Up to so many sources, their few numbers each (some 100 bytes) are sent to every task; above, documents join them by shuffle.
 SENT_SOURCES = 100_000
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -93,8 +93,10 @@ def mix(docs: DataFrame, seed: int = 0, key: str = "doc_id", text: str = "text",
         docs.select(column(docs, key, "long").alias("doc_id"), column(docs, source, "string").alias("source"), words(column(docs, text, "string")).alias("size"))
         .withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     )
-    aimed = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    ways = F.ceil(F.col("source_size") / SHARD_WORDS).cast("long")
+    totals = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
+    # texts without words still are rows, so shards are counted by both
+    ways = F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("rows") / SHARD_ROWS)).cast("long")
+    aimed = cut(targets(totals.drop("rows")).join(totals.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
     named = aimed.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     seats = named.select("name", F.col("target").alias("votes"), F.round(F.sum("target").over(Window.partitionBy()) / BLOCK).cast("long").alias("seats"), (2 * F.ceil(F.col("source_size") / BLOCK)).cast("long").alias("bound"))
     sources = apportion(seats, [], ["name"]).select("name", F.col("blocks").alias("seats"))
@@ -121,14 +123,15 @@ def mixed(docs: DataFrame, seed: int = 0, key: str = "doc_id", text: str = "text
     """The rows of ``docs`` as often as the mix takes them, 0 to 2 times.
 
     What the mix takes of a document is rounded to whole copies by a draw from its id, so
-    that the sources' words stay at their targets on average.
+    that the sources' words stay at their targets on average. Any other columns pass through.
     """
     facts = [F.col("doc_id"), F.col("source"), F.col("size")]
     rates = mix(docs, seed, key, text, source).where("size > 0").groupBy(*facts).agg((F.sum("taken") / F.sum("size")).alias("rate"))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"copies{seed}"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    copies = rates.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.floor(F.col("rate") + draw).cast("int").alias("copies")).where("copies > 0")
-    same = docs[key].eqNullSafe(F.col("mix_id")) & docs[source].eqNullSafe(F.col("mix_source")) & (words(docs[text]) == F.col("mix_size"))
-    taken = docs.join(copies, same).withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    id_, from_, size, times = (fresh(docs, n) for n in ("mix_id", "mix_source", "mix_size", "copies"))
+    copies = rates.select(F.col("doc_id").alias(id_), F.col("source").alias(from_), F.col("size").alias(size), F.floor(F.col("rate") + draw).cast("int").alias(times)).where(F.col(times) > 0)
+    same = docs[key].cast("long").eqNullSafe(copies[id_]) & docs[source].eqNullSafe(copies[from_]) & (words(docs[text]) == copies[size])
+    taken = docs.join(copies, same).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
     return taken.select(*docs.columns)
 
 
