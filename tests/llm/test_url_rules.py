@@ -1,6 +1,12 @@
+import collections
+import itertools
+import math
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.llm import url_rules as U
 
@@ -48,8 +54,45 @@ def test_mined_rules_decide_the_rest(spark):
     assert rows[502]["mined"] is None or "cats" not in rows[502]["mined"]
 
 
+def mined_by_hand(items, support, confidence, longest=3):
+    rows = sorted({(tuple(sorted(set(t))), v) for t, v in items if v is not None})
+    least = max(1, math.ceil(support * len(rows)))
+    n = collections.Counter(c for t, _ in rows for k in range(1, longest + 1) for c in itertools.combinations(t, k))
+    with_ = collections.Counter((c, v) for t, v in rows for k in range(1, longest + 1) for c in itertools.combinations(t, k))
+    rules = {(c, v): (m / n[c], m / len(rows)) for (c, v), m in with_.items() if m >= least and m / n[c] >= confidence}
+    return {k: x for k, x in rules.items() if not any(rules.get((k[0][:i] + k[0][i + 1 :], k[1]), (0,))[0] >= x[0] for i in range(len(k[0]) if len(k[0]) > 1 else 0))}
+
+
 def test_rules_against_counting(spark):
+    rng = random.Random(14)
     items = [(["a", "b"], "block"), (["a", "b", "c"], "block"), (["a"], "allow"), (["b", "c"], "block"), (["c"], "allow"), (["a", "b"], "block"), (["d"], None)]
-    found = {(tuple(r["tokens"]), r["verdict"]): (r["confidence"], r["support"]) for r in U.mine(spark.createDataFrame(items, "tokens array<string>, verdict string"), 0.1, 0.7).collect()}
-    # b alone says block always, and with a or c no more; a says it in 3 of 4, c too seldom, both in the one case that has them
-    assert found == {(("b",), "block"): (1.0, pytest.approx(4 / 6)), (("a",), "block"): (0.75, 0.5), (("a", "c"), "block"): (1.0, pytest.approx(1 / 6))}
+    drawn = []
+    for _ in range(150):
+        t = rng.sample("abcdefgh", rng.randint(1, 6))
+        drawn.append((t, "block" if {"a", "b"} <= {*t} or ("c" in t and rng.random() < 0.7) else rng.choice(["allow", "allow", "block"]) if "h" in t else "allow"))
+    for rows, support, confidence in ((items, 0.1, 0.7), (drawn, 0.03, 0.8), (drawn, 0.2, 0.5)):
+        found = {(tuple(r["tokens"]), r["verdict"]): (r["confidence"], r["support"]) for r in U.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), support, confidence).collect()}
+        assert found == {k: tuple(map(pytest.approx, x)) for k, x in mined_by_hand(rows, support, confidence).items()}
+
+
+def test_long_repeated_urls_are_mined_in_bounded_time(spark):
+    parts = "/".join(f"{'abcdefghij'[i % 10] * (1 + i // 10)}" for i in range(40))
+    urls = [f"http://s.net/{parts}"] * 200 + [f"http://u{'xyz'[i % 3] * (1 + i)}.net/{parts}/{'p' * i}" for i in range(100)] + [f"http://example.net/en/{'q' * i}" for i in range(60)] + [f"http://elsewhere.com/{parts}", "http://elsewhere.com/" + "long/" * 50_000]
+    began = time.monotonic()
+    rows = U.judge(spark.createDataFrame([*enumerate(urls)], "page_id long, url string")).collect()
+    assert time.monotonic() - began < 120 and len(rows) == len(urls)
+    assert {r["verdict"] for r in rows if r["page_id"] == 360} == {"block"}
+
+
+def test_each_url_gets_its_best_rule(spark):
+    """Rules looked up by the index against trying every rule on every URL."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = docs.select("page_id", "url").withColumn("host", U.host_of(F.col("url"))).withColumn("path", U.path_of(F.col("url")))
+    rows = rows.withColumn("by", U.explicit_rule(F.col("host"), F.col("path"), U.EXPLICIT)).withColumn("tokens", U.tokens(F.col("url"), F.col("host"), F.col("path"))).collect()
+    rules = mined_by_hand([(r["tokens"], r["by"]["verdict"]) for r in rows if r["by"]], U.SUPPORT, U.CONFIDENCE)
+    want = {}
+    for r in rows:
+        fits = [(c, s, v, " ".join(t)) for (t, v), (c, s) in rules.items() if {*t} <= {*r["tokens"]}]
+        want[r["page_id"]] = (r["by"]["verdict"], None) if r["by"] else max(fits)[2:] if fits and r["host"] else ("allow", None)
+    found = {r["page_id"]: (r["verdict"], r["mined"]) for r in U.judge(docs).collect()}
+    assert found == want and len({v for v, _ in found.values()}) == 2
