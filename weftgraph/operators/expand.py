@@ -15,6 +15,8 @@ from weftgraph.sources.graph import KEY_BITS, EdgeTable
 if TYPE_CHECKING:
     from weftgraph.plans.rows import Rows
 
+#: Columns of a hop's two ends, until it has arrived.
+ENDS = ("near$id", "far$id", "far$label")
 WAYS = {"out": (("src", "dst"),), "in": (("dst", "src"),), "both": (("src", "dst"), ("dst", "src"))}
 
 
@@ -59,7 +61,7 @@ def hop(rows: Rows, start: str, to: str, type_: str | None, direction: str, labe
     df = rows.df.join(edges, F.col(f"{start}$id") == F.col("near$id"))
     if name in rows.bound:  # the same edge again
         df = df.where((F.col("edge$id") == F.col(f"{name}$id")) & (F.col("edge$type") == F.col(f"{name}$type"))) if rows.bound[name].kind == EDGE else df.where(F.lit(False))
-        df = df.drop(*[c for c in edges.columns if c not in ("near$id", "far$id")])
+        df = df.drop(*[c for c in edges.columns if c not in ENDS])
         out = rows.bind(df, name, rows.bound[name])
     else:
         fixed = ("id", "type", "src", "dst")
@@ -68,8 +70,7 @@ def hop(rows: Rows, start: str, to: str, type_: str | None, direction: str, labe
         out = rows.bind(df, name, Bound(EDGE, type_, properties))
     out = out.filter(*out.conditions(name, edge_where))
     labels = {w.far_label for w in walked}
-    far = labels.pop() if len(labels) == 1 else None
-    return _tested(_arrived(out, to, far or label, far is not None, fetch), to, label, where, drop=None if edge else name)
+    return _tested(_arrived(out, to, label, labels, fetch), to, label, where, drop=None if edge else name)
 
 
 def _edges(rows: Rows, walked: list[Way], name: str) -> DataFrame:
@@ -79,9 +80,9 @@ def _edges(rows: Rows, walked: list[Way], name: str) -> DataFrame:
         e = rows.graph.edge_frame(w.edge)
         if w.near == "dst" and any(x.edge is w.edge and x.near == "src" for x in walked):
             e = e.where("src <> dst")
-        frames.append(e.select(F.col(w.near).alias("near$id"), F.col(w.far).alias("far$id"), F.lit(w.edge.type).alias("edge$type"), *[F.col(c).alias(f"edge${c}") for c in e.columns]))
+        frames.append(e.select(F.col(w.near).alias("near$id"), F.col(w.far).alias("far$id"), F.lit(w.far_label).cast("string").alias("far$label"), F.lit(w.edge.type).alias("edge$type"), *[F.col(c).alias(f"edge${c}") for c in e.columns]))
     if not frames:
-        return rows.graph.spark.createDataFrame([], "`near$id` long, `far$id` long, `edge$type` string, `edge$id` long, `edge$src` long, `edge$dst` long")
+        return rows.graph.spark.createDataFrame([], "`near$id` long, `far$id` long, `far$label` string, `edge$type` string, `edge$id` long, `edge$src` long, `edge$dst` long")
     frames = unified(frames)
     out = frames[0]
     for f in frames[1:]:
@@ -99,7 +100,7 @@ def _by_key(rows: Rows, start: str, to: str, w: Way, edge: str | None, fetch: bo
             return None
         df = rows.df.where(F.col(f"{start}${key}").isNotNull()).withColumn("far$id", F.col(f"{start}${key}") + F.lit(graph.table(w.far_label).number << KEY_BITS))
         holder, out = start, rows.bind(df, start, rows.bound[start])
-        out = _arrived(out, to, w.far_label, True, fetch)
+        out = _arrived(out, to, w.far_label, {w.far_label}, fetch)
     else:
         if to in rows.bound:
             return None
@@ -115,18 +116,20 @@ def _by_key(rows: Rows, start: str, to: str, w: Way, edge: str | None, fetch: bo
     return out
 
 
-def _arrived(rows: Rows, to: str, label: str | None, implied: bool, fetch: bool) -> Rows:
-    """Binds the far end, or tests it against what is bound."""
+def _arrived(rows: Rows, to: str, label: str | None, labels: set[str | None], fetch: bool) -> Rows:
+    """Binds the far end, or tests it against what is bound; ``labels`` are those that the walked edges lead to, None for any."""
     from weftgraph.plans.rows import NODE, Bound, prefixed
 
-    ends = [c for c in ("near$id", "far$id") if c in rows.df.columns]
+    ends = [c for c in ENDS if c in rows.df.columns]
     if to in rows.bound:
         same = F.col("far$id") == F.col(f"{to}$id") if rows.bound[to].kind == NODE else F.lit(False)
         return rows.bind(rows.df.where(same).drop(*ends), to, rows.bound[to])
-    if implied and label is not None and not fetch:
-        df = rows.df.withColumn(f"{to}$id", F.col("far$id")).withColumn(f"{to}$label", F.lit(label))
-        return rows.bind(df.drop(*ends), to, Bound(NODE, label, ()))
-    nodes = rows.graph.scan_nodes(label)
+    one = next(iter(labels)) if len(labels) == 1 else None
+    if not fetch and labels and None not in labels:  # edges that tell the label need no node table
+        df = rows.df.withColumn(f"{to}$id", F.col("far$id")).withColumn(f"{to}$label", F.lit(one) if one else F.col("far$label"))
+        return rows.bind(df.drop(*ends), to, Bound(NODE, one, ()))
+    label = one or label
+    nodes = rows.graph.scan_nodes(label) if label is not None or not labels or None in labels else rows.graph.scan_labels(sorted(labels))
     if not fetch:
         nodes = nodes.select("id", "label")
     df = rows.df.join(prefixed(nodes, to), F.col("far$id") == F.col(f"{to}$id")).drop(*ends)

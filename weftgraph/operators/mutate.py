@@ -12,19 +12,30 @@ from pyspark.sql import types as T
 
 from weftgraph.errors import ConstraintError, PlanError
 from weftgraph.functions.expressions import as_expression
-from weftgraph.functions.values import TAGGED, kind, tagged, unified
-from weftgraph.sources.graph import KEY_BITS, EdgeTable, Graph
+from weftgraph.functions.values import TAGGED, equal, kind, tagged, unified
+from weftgraph.sources.folders import checkpointed
+from weftgraph.sources.graph import KEY_BITS, EdgeTable, Graph, next_id
 
 if TYPE_CHECKING:
     from weftgraph.plans.rows import Rows
 
+#: What Spark leaves for a partition's rows in the numbers that it gives.
+PARTITION_BITS = 33
+
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with a number for each row, written once so that it stays."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.withColumn("row#", F.monotonically_increasing_id()).checkpoint()
+    """``df`` written once, with a number in ``row#`` for each row, from 0 and without gaps."""
+    kept = checkpointed(df.withColumn("row#", F.monotonically_increasing_id()))
+    part, place = F.shiftright("row#", PARTITION_BITS).cast("int"), F.col("row#").bitwiseAND(F.lit((1 << PARTITION_BITS) - 1))
+    sizes = {r["part"]: r["n"] for r in kept.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one row a partition
+    if not any(sizes):
+        return kept
+    starts, at = [], 0
+    for p in sorted(sizes):
+        starts.append((p, at))
+        at += sizes[p]
+    starts = df.sparkSession.createDataFrame(starts, "`part#` int, `start#` long")
+    return kept.withColumn("part#", part).join(F.broadcast(starts), "part#").withColumn("row#", place + F.col("start#")).drop("part#", "start#")
 
 
 def _evaluated(rows: Rows, properties: dict) -> dict[str, Column]:
@@ -43,13 +54,11 @@ def _as(x: Column, have: T.DataType, want: T.DataType) -> Column:
 
 
 def _next_node(graph: Graph, label: str) -> tuple[Graph, int]:
-    """A graph that has the label's table, and the least id above all its nodes."""
+    """A graph that has the label's table, and the least id above all that its nodes have ever had."""
     if label not in graph.nodes:
         graph = graph.with_nodes(label, graph.spark.createDataFrame([], "id long"))
-        return graph, graph.nodes[label].number << KEY_BITS
     table = graph.nodes[label]
-    most = table.df.agg(F.max("id")).first()[0]
-    return graph, (table.number << KEY_BITS) if most is None else most + 1
+    return graph, max(table.number << KEY_BITS, next_id([table]))
 
 
 def _appended(table: DataFrame, new: DataFrame) -> DataFrame:
@@ -103,10 +112,9 @@ def create_edge(rows: Rows, start: str, type_: str, end: str, properties: dict,
     made = _evaluated(rows, properties)
     src, dst = rows.bound[start].label, rows.bound[end].label
     have = next((e for e in rows.graph.edges if (e.type, e.src, e.dst) == (type_, src, dst) and e.df is not None), None)
-    same_type = [e.df for e in rows.graph.edges if e.type == type_ and e.df is not None]
-    most = reduce(DataFrame.union, [d.select("id") for d in same_type]).agg(F.max("id")).first()[0] if same_type else None
+    first = next_id([e for e in rows.graph.edges if e.type == type_ and e.df is not None])
     df = numbered(rows.df.withColumns({f"new${k}": c for k, c in made.items()}) if made else rows.df)
-    df = df.withColumn("made#", F.lit(0 if most is None else most + 1) + F.col("row#")).drop("row#")
+    df = df.withColumn("made#", F.lit(first) + F.col("row#")).drop("row#")
     new = df.select(F.col("made#").alias("id"), F.col(f"{start}$id").alias("src"), F.col(f"{end}$id").alias("dst"), *[F.col(f"new${k}").alias(k) for k in made])
     base = have.df if have else new.limit(0)
     graph = rows.graph.with_edges(type_, _appended(base, new), src, dst)
@@ -118,31 +126,39 @@ def create_edge(rows: Rows, start: str, type_: str, end: str, properties: dict,
 
 
 def merge_node(rows: Rows, variable: str, label: str, properties: dict) -> Rows:
+    from weftgraph.plans.rows import NODE, Bound
+
     made = _evaluated(rows, properties)
     rows = _without(replace(rows, df=rows.df.withColumns({f"new${k}": c for k, c in made.items()})), variable)
     graph, first = _next_node(rows.graph, label)
     table = graph.nodes[label]
     names = [f"new${k}" for k in made]
-    rows = replace(rows, df=numbered(rows.df).drop("row#"))
-    wanted = rows.df.select(*names).distinct()
+    # what is written are the distinct values that the rows ask for, never the rows
+    wanted = numbered(rows.df.select(*names).distinct())
     types = {f.name: f.dataType for f in table.df.schema.fields}
     asked = {k: kind(wanted.schema[f"new${k}"].dataType) for k in made}
     fits = all(k in types and (kind(types[k]) == asked[k] or TAGGED in (kind(types[k]), asked[k])) for k in made)
     if fits:
-        oldest = table.df.groupBy(*[F.col(k).alias(f"old${k}") for k in made]).agg(F.min("id").alias("found"))
-        same = reduce(lambda a, b: a & b, [tagged(F.col(f"new${k}"), asked[k]).eqNullSafe(tagged(F.col(f"old${k}"), kind(types[k]))) if TAGGED in (asked[k], kind(types[k])) else F.col(f"new${k}").eqNullSafe(F.col(f"old${k}")) for k in made], F.lit(True))
-        keyed = wanted.join(oldest, same, "left").drop(*[f"old${k}" for k in made])
+        old = table.df.select("id", *[F.col(k).alias(f"old${k}") for k in made])
+        same = reduce(lambda a, b: a & b, [equal(F.col(f"new${k}"), asked[k], F.col(f"old${k}"), kind(types[k])) for k in made], F.lit(True))
+        found = wanted.join(old, same).groupBy("row#").agg(F.min("id").alias("found"))
+        keyed = wanted.join(found, "row#", "left")
     else:
         keyed = wanted.withColumn("found", F.lit(None).cast("long"))
-    keyed = numbered(keyed)
-    keyed = keyed.withColumn("to$id", F.coalesce("found", F.lit(first) + F.col("row#")))
+    keyed = checkpointed(keyed.withColumn("to$id", F.coalesce("found", F.lit(first) + F.col("row#"))))
     new = keyed.where("found is null").select(F.col("to$id").alias("id"), *[F.col(f"new${k}").alias(k) for k in made])
     graph = graph.with_nodes(label, _appended(table.df, new))
     graph.check([label])
     again = keyed.select(F.col("to$id").alias(f"{variable}$id"), *[F.col(n).alias(f"m{n}") for n in names])
     same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"m{n}")) for n in names], F.lit(True))
-    df = rows.df.join(again, same).drop(*names, *[f"m{n}" for n in names])
-    return _fetched(rows, variable, label, graph, df)
+    df = rows.df.join(again, same).drop(*[f"m{n}" for n in names])
+    table = graph.nodes[label]
+    if {*table.properties} <= {*made}:  # all that the nodes have is known
+        types = {f.name: f.dataType for f in table.df.schema.fields}
+        have = {f.name: f.dataType for f in df.schema.fields}
+        df = df.withColumns({f"{variable}$label": F.lit(label), **{f"{variable}${k}": _as(F.col(f"new${k}"), have[f"new${k}"], types[k]) for k in table.properties}})
+        return rows.bind(df.drop(*names), variable, Bound(NODE, label, tuple(table.properties)), graph)
+    return _fetched(rows, variable, label, graph, df.drop(*names))
 
 
 def set_property(rows: Rows, variable: str, key: str, value) -> Rows:
@@ -155,7 +171,7 @@ def set_property(rows: Rows, variable: str, key: str, value) -> Rows:
         raise PlanError(f"{variable!r} has no one label or type: bind it with one to set its properties")
     new = _evaluated(rows, {key: value})[key]
     order = [F.col(f"{x}$id") if b.kind == NODE else -F.col(f"{x}$id") for x, b in rows.bound.items()]
-    last = numbered(rows.df.select(F.col(f"{variable}$id").alias("set$id"), new.alias("set$value"), F.struct(*order).alias("set$at")).groupBy("set$id").agg(F.max_by("set$value", "set$at").alias("set$value"))).drop("row#")
+    last = checkpointed(rows.df.select(F.col(f"{variable}$id").alias("set$id"), new.alias("set$value"), F.struct(*order).alias("set$at")).groupBy("set$id").agg(F.max_by("set$value", "set$at").alias("set$value")))
 
     def written(df: DataFrame, id_: str, column: str) -> DataFrame:
         t = last.schema["set$value"].dataType
@@ -195,35 +211,45 @@ def delete(rows: Rows, variables: tuple[str, ...], detach: bool) -> Rows:
         if x not in rows.bound:
             raise PlanError(f"unknown variable {x!r}")
     graph = rows.graph
-    ids = lambda kind_: [rows.df.select(F.col(f"{x}$id").alias("gone"), (F.lit(None).cast("string") if kind_ == NODE else F.col(f"{x}$type")).alias("type")) for x in variables if rows.bound[x].kind == kind_]
-    edges, nodes = ids(EDGE), ids(NODE)
+    edges, nodes = ([x for x in dict.fromkeys(variables) if rows.bound[x].kind == k] for k in (EDGE, NODE))
     if edges:
-        gone = numbered(reduce(DataFrame.union, edges).distinct()).drop("row#")
+        types = {rows.bound[x].label for x in edges}
+        gone = checkpointed(reduce(DataFrame.union, [rows.df.select(F.col(f"{x}$id").alias("gone"), F.col(f"{x}$type").alias("type")) for x in edges]).distinct())
         for e in graph.edges:
-            own = gone.where(F.col("type") == e.type).select("gone")
-            graph = _edges_without(graph, e, lambda d, own=own: d.join(own, d["id"] == own["gone"], "left_anti"), lambda h, own=own: h.join(own.withColumn("hit", F.lit(True)), F.col("id") == F.col("gone"), "left").drop("gone"))
+            if e.type in types or None in types:
+                own = gone.where(F.col("type") == e.type).select("gone")
+                graph = _edges_without(graph, e, lambda d, own=own: d.join(own, d["id"] == own["gone"], "left_anti"), lambda h, own=own: h.join(own.withColumn("hit", F.lit(True)), F.col("id") == F.col("gone"), "left").drop("gone"))
     if nodes:
-        gone = numbered(reduce(DataFrame.union, nodes).select("gone").distinct()).drop("row#")
-        if not detach:
-            ends = graph.scan_edges().select(F.explode(F.array("src", "dst")).alias("gone"))
+        labels = {rows.bound[x].label for x in nodes}
+        among = lambda label: label is None or label in labels or None in labels
+        gone = checkpointed(reduce(DataFrame.union, [rows.df.select(F.col(f"{x}$id").alias("gone")) for x in nodes]).distinct())
+        near = [e for e in graph.edges if among(e.src) or among(e.dst)]
+        if not detach and near:
+            ends = reduce(DataFrame.union, [graph.edge_frame(e).select(F.explode(F.array("src", "dst")).alias("gone")) for e in near])
             if gone.join(ends, "gone", "left_semi").take(1):
                 raise ConstraintError("a node that still has edges cannot be deleted: detach it")
-        for e in graph.edges:
-            other = e.dst if e.holder == "src" else e.src
-            offset = graph.table(other).number << KEY_BITS if e.df is None else 0
-            graph = _edges_without(
-                graph, e, lambda d: d.join(gone, d["src"] == gone["gone"], "left_anti").join(gone, d["dst"] == gone["gone"], "left_anti"),
-                lambda h, e=e, offset=offset: h.join(gone.withColumn("hit", F.lit(True)), F.col(e.key) + F.lit(offset) == F.col("gone"), "left").drop("gone"),
-            )
+        for e in near if detach else ():
+
+            def kept(d: DataFrame, e: EdgeTable = e) -> DataFrame:
+                for end, label in (("src", e.src), ("dst", e.dst)):
+                    d = d.join(gone, d[end] == gone["gone"], "left_anti") if among(label) else d
+                return d
+
+            if e.df is not None:
+                graph = _edges_without(graph, e, kept, None)
+            elif among(other := e.dst if e.holder == "src" else e.src):  # a removed holder takes its key along
+                offset = graph.table(other).number << KEY_BITS
+                graph = _edges_without(graph, e, None, lambda h, e=e, offset=offset: h.join(gone.withColumn("hit", F.lit(True)), F.col(e.key) + F.lit(offset) == F.col("gone"), "left").drop("gone"))
         for label, table in graph.nodes.items():
-            graph = graph.with_nodes(label, table.df.join(gone, table.df["id"] == gone["gone"], "left_anti"))
+            if among(label):
+                graph = graph.with_nodes(label, table.df.join(gone, table.df["id"] == gone["gone"], "left_anti"), given=True)
     return replace(rows, graph=graph, df=rows.df.where(F.lit(False)))
 
 
 def _edges_without(graph: Graph, e: EdgeTable, kept, hit) -> Graph:
     """The graph without some edges of a table: rows go, or a holder's key becomes null."""
     if e.df is not None:
-        return graph.with_edges(e.type, kept(e.df), e.src, e.dst)
+        return graph.with_edges(e.type, kept(e.df), e.src, e.dst, given=True)
     label = e.src if e.holder == "src" else e.dst
     table = graph.table(label)
     marked = hit(table.df)

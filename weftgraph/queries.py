@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.errors import ConstraintError
 from weftgraph.functions.expressions import p, v
+from weftgraph.sources.folders import shared_folder
 from weftgraph.sources.graph import Graph
+from weftgraph.sources.store import load, save
 from weftgraph.sources.tables import sales_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -365,3 +368,130 @@ def unique_violated(g):
     except ConstraintError:
         outcome = "violated"
     return g.spark.createDataFrame([(outcome,)], "outcome string")
+
+
+@query("SELECT max(r_regionkey)::BIGINT + 1 AS id FROM region")
+def create_after_delete(g):
+    """An id is not given again, even of the newest node."""
+    last = g.scan_nodes("Region").agg(F.max("regionkey")).first()[0]
+    fewer = g.match("r", "Region", {"regionkey": last}).delete("r", detach=True).graph
+    made = fewer.unit().create_node("x", "Region", {"name": "NEW"}).returns((p("x.id"), "id")).df
+    return made.select((F.col("id") % (1 << 48)).alias("id"))
+
+
+# ---- direct reads, the catalog, and what else has no step of its own ----
+
+
+@query("SELECT c_custkey AS custkey, c_name AS name FROM customer WHERE c_nationkey = 3")
+def nodes_by_id(g):
+    ids = g.scan_nodes("Customer").where("nationkey = 3").select("id")
+    return g.node(ids).select("custkey", "name")
+
+
+@query("SELECT l_orderkey AS orderkey, l_partkey AS partkey, l_quantity AS quantity FROM lineitem WHERE l_quantity = 50")
+def edges_by_id(g):
+    ids = g.scan_edges("CONTAINS").where("quantity = 50").select("id")
+    return g.edge(ids, "CONTAINS").select((F.col("src") % (1 << 48)).alias("orderkey"), (F.col("dst") % (1 << 48)).alias("partkey"), "quantity")
+
+
+@query("SELECT r_regionkey::BIGINT AS id, 'name' AS key, r_name AS value FROM region UNION ALL SELECT r_regionkey, 'regionkey', r_regionkey::VARCHAR FROM region")
+def stored_properties(g):
+    found = g.properties(g.scan_nodes("Region").select("id"), "Region").where("key in ('name', 'regionkey')")
+    return found.select((F.col("id") % (1 << 48)).alias("id"), "key", "value")
+
+
+@query("SELECT 'Nation' AS label, count(*) AS n FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'Customer', count(*) FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'Supplier', count(*) FROM supplier WHERE s_nationkey = 3")
+def property_of_any_label(g):
+    return g.match("x", None, {"nationkey": 3}).returns((p("x.label"), "label")).df.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+def nodes_with_any_edge(g):
+    parts = g.scan_nodes("Part").select("id")
+    return g.has_edges(parts).select((F.col("id") % (1 << 48)).alias("partkey"))
+
+
+@query("SELECT n_name AS nation, s_suppkey AS suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey")
+def expand_to_a_label(g):
+    found = g.match("n", "Nation").expand("n", "x", None, "in", label="Supplier")
+    return found.returns((p("n.name"), "nation"), (p("x.suppkey"), "suppkey")).df
+
+
+@query("SELECT 'Nation' AS near, x AS far, count(*) AS n FROM (SELECT 'Region' AS x FROM nation UNION ALL SELECT 'Customer' FROM customer UNION ALL SELECT 'Supplier' FROM supplier) GROUP BY x")
+def labels_of_neighbours(g):
+    found = g.match("n", "Nation").expand("n", "x", None, "both").filter(p("x.name") != "nobody")
+    return found.returns((p("n.label"), "near"), (p("x.label"), "far")).df.groupBy("near", "far").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS partkey, CASE WHEN p_size >= 25 THEN p_brand END AS grade FROM part ORDER BY grade NULLS FIRST, p_partkey LIMIT 60")
+def order_with_missing(g):
+    graded = g.match("x", "Part").filter(p("x.size") >= 25).set("x", "grade", p("x.brand")).graph
+    return graded.match("x", "Part").returns((p("x.partkey"), "partkey"), (p("x.grade"), "grade"), order_by=[p("x.grade"), p("x.partkey")], limit=60).df
+
+
+@query("SELECT p_partkey AS partkey, CASE WHEN p_size >= 49 THEN p_brand END AS grade FROM part ORDER BY grade DESC NULLS LAST, p_partkey DESC LIMIT 60")
+def order_with_missing_last(g):
+    graded = g.match("x", "Part").filter(p("x.size") >= 49).set("x", "grade", p("x.brand")).graph
+    return graded.match("x", "Part").returns((p("x.partkey"), "partkey"), (p("x.grade"), "grade"), order_by=[(p("x.grade"), "desc"), (p("x.partkey"), "desc")], limit=60).df
+
+
+@query("SELECT c_custkey AS custkey FROM customer WHERE c_acctbal > 5000")
+def filter_by_a_boolean(g):
+    told = g.match("c", "Customer").set("c", "rich", p("c.acctbal") > 5000.0).graph
+    return told.match("c", "Customer").filter(p("c.rich")).returns((p("c.custkey"), "custkey")).df
+
+
+@query("SELECT p_partkey AS partkey, CASE WHEN p_size < 5 THEN 'whole' WHEN p_size < 10 THEN 'floating' ELSE 'text' END AS kind FROM part WHERE p_size IS NOT NULL")
+def values_of_several_types(g):
+    """Brands that are numbers in some parts: each value is equal and ordered by its own type."""
+    changed = g.match("x", "Part").filter((p("x.size") < 5) & (p("x.size") >= 0)).set("x", "brand", 7).graph
+    changed = changed.match("x", "Part").filter((p("x.size") >= 5) & (p("x.size") < 10)).set("x", "brand", 7.5).graph
+    kinds = {"whole": p("x.brand") == 7, "floating": (p("x.brand") > 7) & (p("x.brand") < 8), "text": p("x.brand") > ""}
+    found = [changed.match("x", "Part").filter(c).returns((p("x.partkey"), "partkey"), (k, "kind")).df for k, c in kinds.items()]
+    return found[0].union(found[1]).union(found[2])
+
+
+@query('SELECT n_name AS "n.name", n_nationkey::BIGINT AS "n.nationkey", n_nationkey > 5 AS expr FROM nation')
+def names_of_columns(g):
+    return g.match("n", "Nation").returns(p("n.name"), p("n.nationkey"), p("n.nationkey") > 5).df
+
+
+@query("SELECT i, CASE i % 2 WHEN 1 THEN '+' || repeat('-', w + 2) || '+' ELSE '| ' || rpad(CASE i WHEN 2 THEN 'r.name' ELSE name END, w, ' ') || ' |' END AS line FROM (SELECT r_name AS name, greatest(length(r_name), 6)::INTEGER AS w FROM region WHERE r_regionkey = 1), (SELECT unnest([1, 2, 3, 4, 5])::BIGINT AS i)")
+def result_as_text(g):
+    text = g.match("r", "Region", {"regionkey": 1}).returns(p("r.name")).to_table()
+    return g.spark.createDataFrame([*enumerate(text.split("\n"), 1)], "i long, line string")
+
+
+@query("SELECT * FROM (VALUES ('label', 'Customer'), ('label', 'Event'), ('label', 'Nation'), ('label', 'Order'), ('label', 'Part'), ('label', 'Region'), ('label', 'Supplier'), ('type', 'BASED_IN'), ('type', 'CONTAINS'), ('type', 'IN_NATION'), ('type', 'IN_REGION'), ('type', 'PLACED'), ('type', 'SUPPLIES'), ('key', 'mktsegment'), ('key', 'returnflag')) AS t(kind, name)")
+def names_in_the_catalog(g):
+    keys = [k for k in g.property_keys() if k in ("mktsegment", "returnflag")]
+    rows = [("label", x) for x in g.labels()] + [("type", x) for x in g.edge_types()] + [("key", x) for x in keys]
+    return g.spark.createDataFrame(rows, "kind string, name string")
+
+
+def _stored(g: Graph) -> Graph:
+    """Nations and regions with a unique and a clustered property, saved and loaded."""
+    small = Graph(g.spark).with_nodes("Region", g.table("Region").df).with_nodes("Nation", g.table("Nation").df)
+    edges = g.scan_edges("IN_REGION").select("id", "src", "dst", F.lit("part of").alias("how"))
+    small = small.with_edges("IN_REGION", edges, "Nation", "Region").with_unique("Region", "name").cluster_by("Nation", "name")
+    folder = f"{shared_folder(g.spark)}/graph-{uuid.uuid4().hex}"
+    save(small, folder)
+    return load(g.spark, folder)
+
+
+@query("SELECT n_name AS nation, r_name AS region, 'part of' AS how FROM nation JOIN region ON n_regionkey = r_regionkey")
+def saved_and_loaded(g):
+    found = _stored(g).match("n", "Nation").expand("n", "r", "IN_REGION", edge="e")
+    return found.returns((p("n.name"), "nation"), (p("r.name"), "region"), (p("e.how"), "how")).df
+
+
+@query("SELECT * FROM (VALUES ('unique', 'Region', 'name'), ('clustered', 'Nation', 'name')) AS t(kind, label, key)")
+def indexes_after_loading(g):
+    return g.spark.createDataFrame(_stored(g).indexes(), "kind string, label string, key string")
+
+
+@query("SELECT true AS reads_parquet, false AS joins")
+def explained_plan(g):
+    """Of a filter on one label: what the physical plan, as ``explain`` shows it, says."""
+    plan = g.match("x", "Part", {"size": 1}).returns(p("x.name")).df._jdf.queryExecution().toString()
+    return g.spark.createDataFrame([("FileScan parquet" in plan and "PushedFilters: [IsNotNull(p_size)" in plan, "Join" in plan)], "reads_parquet boolean, joins boolean")

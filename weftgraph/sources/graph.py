@@ -8,7 +8,9 @@ across labels. An edge that is a foreign key of a node table has no table of its
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +26,13 @@ UNLABELLED = ""
 
 @dataclass(frozen=True)
 class NodeTable:
+    """``floor`` and the ids in ``past`` keep an id from being given again after its node is gone."""
+
     label: str
     number: int
     df: DataFrame
+    floor: int = 0
+    past: tuple[DataFrame, ...] = ()
 
     @property
     def properties(self) -> list[str]:
@@ -43,12 +49,21 @@ class EdgeTable:
     df: DataFrame | None = None
     holder: str | None = None
     key: str | None = None
+    floor: int = 0
+    past: tuple[DataFrame, ...] = ()
 
     @property
     def properties(self) -> list[str]:
         return [c for c in self.df.columns if c not in ("id", "src", "dst")] if self.df is not None else []
 
 
+def next_id(tables: list[NodeTable] | list[EdgeTable]) -> int:
+    """The least id above all that these tables have ever held."""
+    ids = [df.select("id") for t in tables for df in ((t.df,) if t.df is not None else ()) + t.past]
+    most = reduce(DataFrame.union, ids).agg(F.max("id")).first()[0] if ids else None
+    return max([t.floor for t in tables] + [0 if most is None else most + 1])
+
+
 @dataclass(frozen=True)
 class Graph:
     spark: SparkSession
@@ -59,27 +74,31 @@ class Graph:
 
     # ---- tables ----
 
-    def with_nodes(self, label: str, df: DataFrame, key: str | None = None) -> Graph:
-        """Adds or replaces a label's table; ``key`` names the column that numbers its nodes."""
+    def with_nodes(self, label: str, df: DataFrame, key: str | None = None, given: bool = False) -> Graph:
+        """Adds or replaces a label's table; ``key`` names the column that numbers its nodes, ``given`` keeps the ids of the old one from being given again."""
         number = self.nodes[label].number if label in self.nodes else 1 + max((t.number for t in self.nodes.values()), default=0)
         df = _widened(df)
         if key is not None:
             df = df.withColumn("id", F.col(key) + F.lit(number << KEY_BITS))
         if "id" not in df.columns:
             raise PlanError(f"nodes of {label!r} need an id column or a key")
-        return replace(self, nodes={**self.nodes, label: NodeTable(label, number, df)})
+        old = self.nodes.get(label)
+        floor, past = (old.floor, old.past + ((old.df.select("id"),) if given else ())) if old else (0, ())
+        return replace(self, nodes={**self.nodes, label: NodeTable(label, number, df, floor, past)})
 
     def node_id(self, label: str, key: str) -> Column:
         """The id of the node of ``label`` that ``key`` numbers."""
         return F.col(key) + F.lit(self.table(label).number << KEY_BITS)
 
-    def with_edges(self, type: str, df: DataFrame, src: str | None = None, dst: str | None = None) -> Graph:
-        """Adds edges of one type between two labels, or any; replaces those of the same type and labels."""
+    def with_edges(self, type: str, df: DataFrame, src: str | None = None, dst: str | None = None, given: bool = False) -> Graph:
+        """Adds edges of one type between two labels, or any; replaces those of the same type and labels; ``given`` as in ``with_nodes``."""
         df = _widened(df)
         if missing := {"id", "src", "dst"} - {*df.columns}:
             raise PlanError(f"edges of {type!r} need columns {sorted(missing)}")
         rest = tuple(e for e in self.edges if (e.type, e.src, e.dst) != (type, src, dst))
-        return replace(self, edges=(*rest, EdgeTable(type, src, dst, df)))
+        old = next((e for e in self.edges if (e.type, e.src, e.dst) == (type, src, dst)), None)
+        floor, past = (old.floor, old.past + ((old.df.select("id"),) if given and old.df is not None else ())) if old else (0, ())
+        return replace(self, edges=(*rest, EdgeTable(type, src, dst, df, None, None, floor, past)))
 
     def with_key_edges(self, type: str, src: str, dst: str, holder: str, key: str) -> Graph:
         """Adds edges that column ``key`` of one end's node table implies."""
@@ -97,7 +116,11 @@ class Graph:
         if label is not None:
             found = self.nodes.get(label)
             return (found.df if found else self._empty("id long")).withColumn("label", F.lit(label))
-        tables = [self.scan_nodes(x) for x in self.nodes]
+        return self.scan_labels(self.nodes)
+
+    def scan_labels(self, labels: Iterable[str]) -> DataFrame:
+        """Nodes of several labels, with a ``label`` column."""
+        tables = [self.scan_nodes(x) for x in labels]
         if not tables:
             return self._empty("id long, label string")
         tables = unified(tables)
@@ -106,6 +129,21 @@ class Graph:
             out = out.unionByName(t, allowMissingColumns=True)
         return out
 
+    def node(self, ids: DataFrame, label: str | None = None) -> DataFrame:
+        """The nodes whose ids are in column ``id``, of a label or any, with a ``label`` column."""
+        return self.scan_nodes(label).join(ids.select("id"), "id", "left_semi")
+
+    def edge(self, ids: DataFrame, type: str) -> DataFrame:
+        """The edges of a type whose ids are in column ``id``."""
+        return self.scan_edges(type).join(ids.select("id"), "id", "left_semi")
+
+    def properties(self, ids: DataFrame, label: str) -> DataFrame:
+        """(id, key, value) of what the nodes of a label store, values as text."""
+        found, keys = self.node(ids, label), self.table(label).properties
+        text = lambda k: F.to_json(k) if isinstance(found.schema[k].dataType, T.StructType) else F.col(k).cast("string")
+        told = F.array(*[F.struct(F.lit(k).alias("key"), text(k).alias("value")) for k in keys])
+        return found.select("id", F.explode(told).alias("x")).select("id", "x.key", "x.value").where("value is not null")
+
     def edge_frame(self, edge: EdgeTable) -> DataFrame:
         """An edge table's (id, src, dst, properties), made from the holder's table for foreign keys."""
         if edge.df is not None:
