@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.sources.folders import checkpointed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,19 +17,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     A later failure then reads the files again instead of working through the whole plan.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, as the session names it in ``spark.checkpoint.dir``; there is no other that all machines share."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if not configured:
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        context.setCheckpointDir(configured)
-    return context.getCheckpointDir()
+    return checkpointed(df)
 
 
 def fresh(df: DataFrame, name: str) -> str:

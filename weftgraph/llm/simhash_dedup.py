@@ -36,6 +36,8 @@ OF, IN = 4, 5
 #: A prefix has one shingle in so many more than it needs, and two prefixes then share as many more.
 EXTRA = 20
 SHINGLE_PRINT = 3
+#: Up to so many texts to be read again, their names (some 50 bytes each) are sent to every task; more are joined by shuffle.
+SENT_NODES = 400_000
 #: Texts sampled for the order of shingles, and how many common ones that order knows; both steer work, never a result.
 ORDER_TEXTS, ORDER_SHINGLES = 10_000, 1 << 19
 
@@ -166,49 +168,50 @@ def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np
     return h[at], n[at]
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles in the order rare to common, then by hash, in two parts: not common and common.
+def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The first shingles in the order rare to common, then by hash, in two parts: not common and common; and how common they are together.
 
     Two sets SIMILARITY alike have 1 + n // EXTRA of these in common, n the smaller one's size:
     they share at least OF / IN of each, so of the shared ones no more can lie behind either prefix.
     """
     size = len(shingles) + OF * len(shingles) // -IN + 1 + len(shingles) // EXTRA if len(shingles) else 0
     if not len(common):
-        return shingles[:size], shingles[:0]
+        return shingles[:size], shingles[:0], 0
     at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
     known = np.where(common[at] == shingles, often[at], 0)
     first = np.argsort(known, kind="stable")[:size]
     hot = known[first] > 0
-    return shingles[first[~hot]], shingles[first[hot]]
+    return shingles[first[~hot]], shingles[first[hot]], int(np.log2(1 + known[first]).sum())
 
 
 def described(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, seal, exact, print, n, prefix, hot) of each text, words as above.
+    """(doc_id, seal, exact, print, n, weight, prefix, hot) of each text, words as above.
 
     ``seal`` names the text and ``exact`` its word sequence, ``print`` is the fingerprint of
     SHINGLE_PRINT-word shingles, ``n`` counts the distinct SHINGLE-word shingles. The prefix's
-    shingles are in two arrays: those that the sample shows to be common are ``hot``.
+    shingles are in two arrays: those that the sample shows to be common are ``hot``; ``weight``
+    is larger for a text of which more and more common ones are.
     """
     import xxhash
 
     order = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text))
 
-    def one(text: str | None) -> tuple[bytes, int, int, np.ndarray, np.ndarray]:
+    def one(text: str | None) -> tuple[bytes, int, int, int, np.ndarray, np.ndarray]:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         shingles = shingle_set(text)
-        rare, hot = prefix(shingles, *order.value)
-        return xxhash.xxh3_128_digest(b" ".join(words)), fingerprint(text, SHINGLE_PRINT), len(shingles), rare.view(np.int64), hot.view(np.int64)
+        rare, hot, weight = prefix(shingles, *order.value)
+        return xxhash.xxh3_128_digest(b" ".join(words)), fingerprint(text, SHINGLE_PRINT), len(shingles), weight, rare.view(np.int64), hot.view(np.int64)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            exact, prints, n, rare, hot = zip(*map(one, batch["text"].to_pylist()), strict=True) if batch.num_rows else ((),) * 5
+            exact, prints, n, weight, rare, hot = zip(*map(one, batch["text"].to_pylist()), strict=True) if batch.num_rows else ((),) * 6
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch["doc_id"], "seal": batch["seal"], "exact": pa.array(exact, pa.binary()), "print": pa.array(np.array(prints, np.uint64).view(np.int64)),
-                "n": pa.array(n, pa.int32()), "prefix": pa.array(rare, pa.list_(pa.int64())), "hot": pa.array(hot, pa.list_(pa.int64())),
+                "n": pa.array(n, pa.int32()), "weight": pa.array(weight, pa.int32()), "prefix": pa.array(rare, pa.list_(pa.int64())), "hot": pa.array(hot, pa.list_(pa.int64())),
             })
 
     picked = docs.select(column(docs, key, "long").alias("doc_id"), column(docs, text, "string").alias("text")).withColumn("seal", F.xxhash64("text"))
-    return picked.mapInArrow(work, "doc_id long, seal long, exact binary, print long, n int, prefix array<long>, hot array<long>")
+    return picked.mapInArrow(work, "doc_id long, seal long, exact binary, print long, n int, weight int, prefix array<long>, hot array<long>")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str, keep_rest: bool = False) -> DataFrame:
@@ -216,8 +219,9 @@ def compared(pairs: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text
 
     ``both`` counts the shingles that they share, ``rest`` has those of b only if asked for.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     wanted = texts.join(ends, "node").select("node", "seal", F.col("doc_id").alias("id"))
+    wanted = F.broadcast(wanted) if ends.count() <= SENT_NODES else wanted
     named = docs.select(column(docs, key, "long").alias("doc_id"), column(docs, text, "string").alias("text")).withColumn("seal", F.xxhash64("text"))
     # by id and text, so that of many copies one row meets it; rows equal in both are one
     read = cut(named.join(wanted, (named["seal"] == wanted["seal"]) & named["doc_id"].eqNullSafe(wanted["id"])).select("node", "text").dropDuplicates(["node"]))
@@ -255,26 +259,24 @@ def behind(n: Column) -> Column:
 
 
 def shared_prefixes(texts: DataFrame) -> DataFrame:
-    """(shingle, node, n, holders) of the prefixes' shingles that several texts hold."""
-    of = lambda c: texts.select("node", "n", F.explode(c).alias("shingle"))
-    rare = of("prefix").withColumn("holders", F.count("*").over(Window.partitionBy("shingle")))
+    """(shingle, node, n, top) of the prefixes' shingles that several texts hold; ``top`` is the heaviest of these, with its weight."""
+    of = lambda c: texts.select("node", "n", "weight", F.explode(c).alias("shingle"))
+    bucket, heavy = Window.partitionBy("shingle"), F.max(F.struct("weight", "node"))
+    rare = of("prefix").withColumn("top", heavy.over(bucket)).withColumn("low", F.min("node").over(bucket)).withColumn("high", F.max("node").over(bucket))
     # a common shingle's holders may be a third of all texts: they are counted before the shuffle and never meet in one task
     hot = of("hot")
-    hot = hot.join(hot.groupBy("shingle").agg(F.count("*").alias("holders")), "shingle")
-    return rare.select("shingle", "node", "n", "holders").union(hot.select("shingle", "node", "n", "holders")).where("holders > 1")
+    hot = hot.join(hot.groupBy("shingle").agg(heavy.alias("top"), F.min("node").alias("low"), F.max("node").alias("high")), "shingle")
+    names = ["shingle", "node", "n", "top", "low", "high"]
+    return rare.select(*names).union(hot.select(*names)).where("low <> high").drop("low", "high")
 
 
 def first_partners(shared: DataFrame) -> DataFrame:
-    """(a, b): each text b and one text a of its buckets, by (shingle, node, n, holders).
+    """(a, b): each text b and one text a of its buckets, by (node, n, top): the representative ``top`` of each of its buckets.
 
-    A bucket's representative is the text whose shingles have the most holders. Of those with
-    which a text shares at least half as much as with any, and enough, the one with most is
-    tried: near copies of one text then all try that text, and not each other.
+    Of those with which a text shares at least half as much as with any, and enough, the
+    heaviest is tried: near copies of one text then all try that text, and not each other.
     """
-    weights = shared.groupBy("node").agg(F.sum(F.log2("holders")).alias("weight"))
-    weighed = shared.join(weights, "node")
-    least = weighed.groupBy("shingle").agg(F.max(F.struct("weight", "node")).alias("top")).select("shingle", "top")
-    met = shared.join(least, "shingle").where("top.node <> node")
+    met = shared.where("top.node <> node").repartition("node")
     counts = met.groupBy("node", "top").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") * 3 >= enough(F.col("n")))
     most = counts.withColumn("most", F.max("k").over(Window.partitionBy("node"))).where("k * 2 >= most")  # a text has no more than its shingles
     return most.groupBy(F.col("node").alias("b")).agg(F.max("top")["node"].alias("a")).select("a", "b")
@@ -288,6 +290,8 @@ def pairs_left(shared: DataFrame, placed: DataFrame) -> DataFrame:
     of its shingles than ``both``; whether they share others, ``pairs_by_rest`` tells.
     """
     rows = shared.select("shingle", "node", "n").join(placed, "node")
+    mixed = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    rows = cut(rows.join(mixed, "shingle", "left_semi"))
     sides = rows.groupBy("shingle", "of").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least"))
     across = sides.groupBy("shingle").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.min("low").alias("low"), F.max("high").alias("high")).where("x <> y and low <> high").select("shingle")
     one = sides.join(across, "shingle", "left_semi").select("shingle", "of", "least")
@@ -338,7 +342,7 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     shingles; all other pairs that share enough of their prefixes and are not in one group
     yet are tried, so that groups come out as from all pairs.
     """
-    found = described(docs, key, text).groupBy("exact").agg(F.min_by(F.struct("doc_id", "seal", "print", "n", "prefix", "hot"), F.struct(F.col("doc_id").isNull(), "doc_id", "seal")).alias("x"))
+    found = described(docs, key, text).groupBy("exact").agg(F.min_by(F.struct("doc_id", "seal", "print", "n", "weight", "prefix", "hot"), F.struct(F.col("doc_id").isNull(), "doc_id", "seal")).alias("x"))
     texts = cut(found.select(F.monotonically_increasing_id().alias("node"), "x.*"))
     balls = texts.select("node", "print", F.explode(F.lit(flips(1))).alias("flip")).select("node", F.col("print").bitwiseXOR(F.col("flip")).alias("variant"))
     same = cut(balls.withColumn("a", F.min("node").over(Window.partitionBy("variant"))).where("a <> node").select("a", F.col("node").alias("b")).distinct())
@@ -356,9 +360,10 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     mixed = placed.groupBy("of").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("of")
     sized = texts.select(F.col("node").alias("b"), "n")
     rest = tried.join(mixed, tried["a"] == mixed["of"], "left_semi").join(sized, "b").select(F.explode("rest").alias("shingle"), F.col("a").alias("of"), F.col("b").alias("node"), "n")
-    rest = rest.join(rest.groupBy("shingle", "of").agg(F.count("*").alias("holders")).where("holders > 1"), ["shingle", "of"])
-    rest = cut(rest)
-    seconds = cut(first_partners(rest.withColumn("shingle", F.struct("shingle", "of"))))
+    rest = cut(rest.join(rest.groupBy("shingle", "of").agg(F.count("*").alias("holders")).where("holders > 1"), ["shingle", "of"]))
+    weighed = rest.join(rest.groupBy("node").agg(F.sum(F.log2("holders")).alias("weight")), "node")
+    tops = weighed.groupBy("shingle", "of").agg(F.max(F.struct("weight", "node")).alias("top"))
+    seconds = cut(first_partners(rest.join(tops, ["shingle", "of"]).select("node", "n", "top")))
     linked = compared(seconds, texts, docs, key, text).where("alike").select("a", "b")
     roots = joined_groups(roots, linked)
     placed = cut(places(roots))
