@@ -156,10 +156,11 @@ class Reader:
         if (packed := self.shared.get(key)) is not None:
             self.reused += 1
             return np.frombuffer(packed, ID).tolist()
-        if (ids := self.store.get(key)) is not None:
+        if (packed := self.store.get(key)) is not None:
             self.reused += 1
-            return ids
-        ids = self.store[key] = self.tokens.encode(chunk[inner[0] : inner[1]])
+            return np.frombuffer(packed, ID).tolist()
+        ids = self.tokens.encode(chunk[inner[0] : inner[1]])
+        self.store[key] = np.array(ids, ID).tobytes()
         if len(self.store) > STORE_CHUNKS:
             self.store.popitem(last=False)
         return ids
