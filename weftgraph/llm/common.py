@@ -20,6 +20,13 @@ def cut(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``cut``, after which the driver lets go of what led to it: Spark removes shuffle files once nothing names them."""
+    kept = cut(df)
+    df.sparkSession._jvm.System.gc()
+    return kept
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, longer where the frame has such a column, for a column that is added for a while."""
     taken = {c.lower() for c in df.columns}

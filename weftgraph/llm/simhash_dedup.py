@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import column, cut, table
+from weftgraph.llm.common import column, cut, settled, table
 
 BITS = 64
 SEED = 42
@@ -240,7 +240,7 @@ def compared(pairs: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text
 
     for end in ("a", "b"):
         pairs = pairs.join(read.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
-    return cut(pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, alike boolean, both int, rest array<long>"))
+    return settled(pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, alike boolean, both int, rest array<long>"))
 
 
 def enough(n: Column) -> Column:
@@ -343,10 +343,10 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     yet are tried, so that groups come out as from all pairs.
     """
     found = described(docs, key, text).groupBy("exact").agg(F.min_by(F.struct("doc_id", "seal", "print", "n", "weight", "prefix", "hot"), F.struct(F.col("doc_id").isNull(), "doc_id", "seal")).alias("x"))
-    texts = cut(found.select(F.monotonically_increasing_id().alias("node"), "x.*"))
+    texts = settled(found.select(F.monotonically_increasing_id().alias("node"), "x.*"))
     balls = texts.select("node", "print", F.explode(F.lit(flips(1))).alias("flip")).select("node", F.col("print").bitwiseXOR(F.col("flip")).alias("variant"))
-    same = cut(balls.withColumn("a", F.min("node").over(Window.partitionBy("variant"))).where("a <> node").select("a", F.col("node").alias("b")).distinct())
-    shared = cut(shared_prefixes(texts))
+    same = settled(balls.withColumn("a", F.min("node").over(Window.partitionBy("variant"))).where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    shared = settled(shared_prefixes(texts))
     tries = cut(first_partners(shared))
     tried = compared(tries, texts, docs, key, text, keep_rest=True)
     roots = links_of(same.union(tried.where("alike").select("a", "b")))
@@ -366,8 +366,8 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     seconds = cut(first_partners(rest.join(tops, ["shingle", "of"]).select("node", "n", "top")))
     linked = compared(seconds, texts, docs, key, text).where("alike").select("a", "b")
     roots = joined_groups(roots, linked)
-    placed = cut(places(roots))
-    left = cut(pairs_left(shared, placed).union(pairs_by_rest(rest, placed)).distinct())
+    placed = settled(places(roots))
+    left = settled(pairs_left(shared, placed).union(pairs_by_rest(rest, placed)).distinct())
     linked = compared(left, texts, docs, key, text).where("alike").select("a", "b")
     if not linked.isEmpty():
         roots = joined_groups(roots, linked)
