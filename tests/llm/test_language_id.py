@@ -1,3 +1,7 @@
+import collections
+import zlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftgraph.llm import language_id as L
@@ -26,6 +30,39 @@ def test_empty_and_unlabelled(spark, nothing, awkward, folder):
     assert {r["lang_pred"] for r in rows} == {"und"}
 
 
+def grams_by_hand(text):
+    """The n-grams of lower-cased words with a space at either end, repeats included."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    return [w[i : i + n] for w in (f" {w} " for w in words) for n in L.GRAMS for i in range(len(w) - n + 1)]
+
+
+def test_votes_against_plain_sets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    learned = [d for d in docs if d["lang"] is not None and d["text"] is not None and zlib.crc32(str(d["doc_id"]).encode()) % 4 != 2]
+    in_docs, n_docs = collections.Counter(), collections.Counter()
+    for d in learned:
+        n_docs[d["lang"]] += 1
+        in_docs.update((d["lang"], g) for g in set(grams_by_hand(d["text"])))
+    share = {k: n / n_docs[k[0]] for k, n in in_docs.items() if n / n_docs[k[0]] >= L.SHARE and n >= 2}
+    most = {}
+    for (_, g), x in share.items():
+        most[g] = max(most.get(g, 0), x)
+    marked = {(lang, g) for (lang, g), x in share.items() if x >= L.RATIO * most[g]}
+    model = L.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert model.languages == sorted(n_docs)
+    raw = L.Filter(model.languages, model.masks, np.zeros(len(model.languages)))
+    agree = 0
+    for d in docs:
+        grams = grams_by_hand(d["text"] or "")
+        plain = [sum((lang, g) in marked for g in grams) for lang in model.languages]
+        votes, total = raw.votes(d["text"] or "")
+        assert total == len(grams)
+        # the filter misses nothing and adds a few false positives, which the correction takes off
+        assert all(0 <= v - n <= 3 + 0.02 * total for v, n in zip(votes, plain, strict=True))
+        agree += not total or model.decide(d["text"])[0] == model.languages[int(np.argmax(plain))]
+    assert agree >= 0.995 * len(docs)
+
+
 def test_pieces_do_not_change_votes(monkeypatch):
     import numpy as np
 

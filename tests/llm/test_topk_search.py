@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.errors import PythonException
 
 from weftgraph.llm import topk_search as K
 
@@ -26,6 +28,18 @@ def test_awkward_vectors(spark, folder, monkeypatch):
     assert K.op7_topk_search(spark, folder(embeddings=df.where("false"))).collect() == []
 
 
+def test_large_products_are_exact_or_refused():
+    a, b = np.array([[1 << 40, 3], [1 << 31, -7]]), np.array([[1 << 22, 5], [-(1 << 22), 1]])
+    assert K.products(a, b).tolist() == [[sum(x * y for x, y in zip(r, s, strict=True)) for s in b.tolist()] for r in a.tolist()]
+    with pytest.raises(OverflowError):
+        K.products(np.array([[1 << 40]]), np.array([[1 << 40]]))
+
+
+def test_too_large_components_are_refused(spark):
+    with pytest.raises(PythonException, match="too large"):
+        K.top_k(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_many_bands_and_ties(spark, monkeypatch):
     monkeypatch.setattr(K, "BLOCK", 64)
     monkeypatch.setattr(K, "FIRST", 16)

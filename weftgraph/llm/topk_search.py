@@ -10,7 +10,8 @@ rotation only decides how early pruning works, never the result.
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no
 part; of vectors of unequal length the missing components count as 0; repeated rows are rows
 of their own, a query leaves out only its own row; ties go to the smaller id; an empty table
-gives an empty result; a null id takes no part; other columns are ignored.
+gives an empty result; a null id takes no part; a component or an inner product that 64 bits
+do not hold stops the query with an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,8 +43,11 @@ def quantised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
                 if i is None or not v or None in v:
                     continue
                 x = np.floor(np.array(v, np.float64) * 256)
-                if np.isfinite(x).all() and np.abs(x).max() < 2.0**62:
-                    rows.append((i, float(np.sqrt((x * x).sum())), x.astype("<i8").tobytes()))
+                if not np.isfinite(np.array(v, np.float64)).all():
+                    continue
+                if not np.abs(x).max() < 2.0**62:
+                    raise OverflowError(f"a component of vector {i} is too large for whole numbers of 64 bits")
+                rows.append((i, float(np.sqrt((x * x).sum())), x.astype("<i8").tobytes()))
             ids, norms, packed = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids, pa.int64()), "norm": pa.array(norms, pa.float64()), "packed": pa.array(packed, pa.binary())})
 
@@ -62,11 +66,16 @@ def unpacked(packed: list[bytes], width: int) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whole-number inner products of all rows; in floating point only where that is exact."""
+    """Whole-number inner products of all rows; in floating point only where that is exact, and an error where 64 bits do not hold one."""
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if top < LARGEST:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+    if top < 2.0**62:
+        return a @ b.T
+    exact = a.astype(object) @ b.T.astype(object)
+    if exact.size and (exact.max() >= 1 << 63 or exact.min() < -(1 << 63)):
+        raise OverflowError("an inner product does not fit in 64 bits")
+    return exact.astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
