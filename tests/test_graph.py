@@ -1,6 +1,7 @@
 """Patterns, hops, results and changes on small graphs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph import ConstraintError, Graph, PlanError, StorageError, load, p, save, v
 from weftgraph.sources import store
@@ -196,6 +197,54 @@ def test_types_under_one_name(spark, people):
     assert len(made.unit().merge_node("n", "Place", {"name": "x"}).graph.scan_nodes("Place").collect()) == 2
 
 
+def test_ids_are_not_given_twice(spark, people, tmp_path):
+    ids = lambda g, label: sorted(r[0] & ((1 << 48) - 1) for r in g.scan_nodes(label).select("id").collect())
+    fewer = people.match("n", "Person", {"name": "Dan"}).delete("n").graph
+    assert ids(fewer, "Person") == [1, 2, 3] and ids(fewer.unit().create_node("n", "Person").graph, "Person") == [1, 2, 3, 5]
+    save(fewer, str(tmp_path / "g"))
+    assert ids(load(spark, str(tmp_path / "g")).unit().create_node("n", "Person").graph, "Person") == [1, 2, 3, 5]
+    none = people.match("a", "Person").expand("a", "b", "KNOWS", edge="e").delete("e").graph
+    assert none.scan_edges("KNOWS").count() == 0
+    linked = none.match("a", "Person", {"name": "Bob"}).create_edge("a", "KNOWS", "a").graph
+    assert [r["id"] for r in linked.scan_edges("KNOWS").collect()] == [5]
+    many = people.unit().graph.match("a", "Person").match("b", "Person").create_node("x", "Pair").graph
+    low = ids(many, "Pair")
+    assert low == [*range(low[0], low[0] + 16)], "no gaps, whatever the partitions"
+
+
+def test_changes_leave_other_tables_alone(spark):
+    from weftgraph import sales_graph
+
+    g = sales_graph(spark, "/root/testdata/sf0.001")
+    fewer = g.match("o", "Order").expand("o", "x", "CONTAINS", edge="l", edge_where={"returnflag": "R"}).delete("l").graph
+    assert all(fewer.nodes[x] is g.nodes[x] for x in g.nodes) and [e.type for e in fewer.edges if e not in g.edges] == ["CONTAINS"]
+    lines = g.scan_edges("CONTAINS").select("id")
+    assert lines.distinct().count() == lines.count()
+    text = g.match("n", "Nation").expand("n", "x", None, "both", edge="e", fetch=False).returns(p("x.label")).df._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in text and "part.parquet" not in text
+
+
+def test_rows_of_several_files_have_ids_of_their_own(spark, tmp_path):
+    from weftgraph.sources.tables import numbered_rows
+
+    spark.range(100).repartition(4).write.parquet(str(tmp_path / "t"))
+    first, again = ([tuple(r) for r in numbered_rows(spark.read.parquet(str(tmp_path / "t")).withColumnRenamed("id", "x") if i else spark.read.parquet(str(tmp_path / "t")).select(F.col("id").alias("x"))).collect()] for i in (0, 0))
+    assert len({i for _, i in first}) == 100 and sorted(first) == sorted(again)
+
+
+def test_two_savers_never_share_a_version(spark, people, tmp_path):
+    folder = str(tmp_path / "g")
+    assert [store.claimed(spark, folder) for _ in range(3)] == [1, 2, 3]
+    assert save(people, folder) == 4 and store.versions(spark, folder) == [4]
+
+
+def test_direct_reads(people):
+    bob = people.match("n", "Person", {"name": "Bob"}).df.selectExpr("`n$id` AS id")
+    assert [r["name"] for r in people.node(bob).collect()] == ["Bob"]
+    assert sorted((r["key"], r["value"]) for r in people.properties(bob, "Person").collect()) == [("age", "20"), ("k", "2"), ("name", "Bob")]
+    assert [r["since"] for r in people.edge(people.scan_edges().where("since = 2021").select("id"), "KNOWS").collect()] == [2021]
+
+
 def test_stream_meets_graph(spark, people, tmp_path):
     spark.createDataFrame([(1, "hello"), (2, "bye"), (9, "nobody")], "k long, said string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k long, said string").parquet(str(tmp_path / "in"))
