@@ -6,6 +6,8 @@ edges with properties from orders to parts and from suppliers to parts.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ NODES = {
 KEY_EDGES = (("IN_REGION", "Nation", "Region", "src", "regionkey"), ("IN_NATION", "Customer", "Nation", "src", "nationkey"), ("BASED_IN", "Supplier", "Nation", "src", "nationkey"), ("PLACED", "Customer", "Order", "dst", "custkey"))
 #: Rows of a file have numbers below 2**ROW_BITS.
 ROW_BITS = 36
+#: What separates a file's scheme from its path.
+SLASHES = ":/+"
 #: Up to so many files, their names (some 200 bytes each) are sent to every task.
 SENT_FILES = 50_000
 
@@ -32,9 +36,12 @@ def numbered_rows(df: DataFrame) -> DataFrame:
     placed = df.select("*", F.col("_metadata.row_index").alias("row#"), F.col("_metadata.file_path").alias("file#"))
     if len(files) <= 1:
         return placed.withColumn("id", F.col("row#")).drop("row#", "file#")
-    of = df.sparkSession.createDataFrame([(f, i << ROW_BITS) for i, f in enumerate(files)], "`file#` string, `first#` long")
+    # one file system's name of a file may differ from another's in the slashes behind the scheme
+    of = df.sparkSession.createDataFrame([(re.sub(SLASHES, ":/", f), i << ROW_BITS) for i, f in enumerate(files)], "`file#` string, `first#` long")
     of = F.broadcast(of) if len(files) <= SENT_FILES else of
-    return placed.join(of, "file#").withColumn("id", F.col("first#") + F.col("row#")).drop("file#", "row#", "first#")
+    known = placed.withColumn("file#", F.regexp_replace("file#", SLASHES, ":/")).join(of, "file#", "left")
+    first = F.coalesce("first#", F.raise_error(F.concat(F.lit("a file of no known name: "), "file#")).cast("long"))
+    return known.withColumn("id", first + F.col("row#")).drop("file#", "row#", "first#")
 
 
 def sales_graph(spark: SparkSession, folder: str) -> Graph:
