@@ -117,7 +117,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: each node links itself and its smaller neighbours to the least of them
         least = large.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m"))
         small = large.join(least, large["b"] == least["n"]).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
-        now = cut(small)
+        now = settled(small)
         state = tuple(now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first())
         if state == seen:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -219,12 +219,12 @@ def compared(pairs: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text
 
     ``both`` counts the shingles that they share, ``rest`` has those of b only if asked for.
     """
-    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    ends = settled(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     wanted = texts.join(ends, "node").select("node", "seal", F.col("doc_id").alias("id"))
     wanted = F.broadcast(wanted) if ends.count() <= SENT_NODES else wanted
     named = docs.select(column(docs, key, "long").alias("doc_id"), column(docs, text, "string").alias("text")).withColumn("seal", F.xxhash64("text"))
     # by id and text, so that of many copies one row meets it; rows equal in both are one
-    read = cut(named.join(wanted, (named["seal"] == wanted["seal"]) & named["doc_id"].eqNullSafe(wanted["id"])).select("node", "text").dropDuplicates(["node"]))
+    read = settled(named.join(wanted, (named["seal"] == wanted["seal"]) & named["doc_id"].eqNullSafe(wanted["id"])).select("node", "text").dropDuplicates(["node"]))
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +291,7 @@ def pairs_left(shared: DataFrame, placed: DataFrame) -> DataFrame:
     """
     rows = shared.select("shingle", "node", "n").join(placed, "node")
     mixed = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    rows = cut(rows.join(mixed, "shingle", "left_semi"))
+    rows = settled(rows.join(mixed, "shingle", "left_semi"))
     sides = rows.groupBy("shingle", "of").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least"))
     across = sides.groupBy("shingle").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.min("low").alias("low"), F.max("high").alias("high")).where("x <> y and low <> high").select("shingle")
     one = sides.join(across, "shingle", "left_semi").select("shingle", "of", "least")
@@ -347,7 +347,7 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     balls = texts.select("node", "print", F.explode(F.lit(flips(1))).alias("flip")).select("node", F.col("print").bitwiseXOR(F.col("flip")).alias("variant"))
     same = settled(balls.withColumn("a", F.min("node").over(Window.partitionBy("variant"))).where("a <> node").select("a", F.col("node").alias("b")).distinct())
     shared = settled(shared_prefixes(texts))
-    tries = cut(first_partners(shared))
+    tries = settled(first_partners(shared))
     tried = compared(tries, texts, docs, key, text, keep_rest=True)
     roots = links_of(same.union(tried.where("alike").select("a", "b")))
 
@@ -356,14 +356,14 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         own = texts.select("node", "n").join(of, "node", "left").join(roots, "node", "left")
         return own.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("of", "node").alias("of"), F.coalesce("both", "n").alias("both"))
 
-    placed = cut(places(roots))
+    placed = settled(places(roots))
     mixed = placed.groupBy("of").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("of")
     sized = texts.select(F.col("node").alias("b"), "n")
     rest = tried.join(mixed, tried["a"] == mixed["of"], "left_semi").join(sized, "b").select(F.explode("rest").alias("shingle"), F.col("a").alias("of"), F.col("b").alias("node"), "n")
-    rest = cut(rest.join(rest.groupBy("shingle", "of").agg(F.count("*").alias("holders")).where("holders > 1"), ["shingle", "of"]))
+    rest = settled(rest.join(rest.groupBy("shingle", "of").agg(F.count("*").alias("holders")).where("holders > 1"), ["shingle", "of"]))
     weighed = rest.join(rest.groupBy("node").agg(F.sum(F.log2("holders")).alias("weight")), "node")
     tops = weighed.groupBy("shingle", "of").agg(F.max(F.struct("weight", "node")).alias("top"))
-    seconds = cut(first_partners(rest.join(tops, ["shingle", "of"]).select("node", "n", "top")))
+    seconds = settled(first_partners(rest.join(tops, ["shingle", "of"]).select("node", "n", "top")))
     linked = compared(seconds, texts, docs, key, text).where("alike").select("a", "b")
     roots = joined_groups(roots, linked)
     placed = settled(places(roots))
