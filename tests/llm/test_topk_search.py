@@ -48,3 +48,15 @@ def test_many_bands_and_ties(spark, monkeypatch):
     rows += [(1000 + i, [1.0] * 24) for i in range(200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, K.top_k(df).collect())) == by_hand(rows)
+
+
+def test_rounds_raise_thresholds_and_deal_queries(spark, monkeypatch):
+    for name, value in (("BLOCK", 32), ("FIRST", 8), ("ROUND", 1), ("GROWTH", 2), ("QUERIES", 4), ("TOGETHER", 1)):
+        monkeypatch.setattr(K, name, value)
+    assert list(K.rounds(9)) == [(0, 1), (1, 3), (3, 7), (7, 9)] and list(K.rounds(0)) == []
+    rng = np.random.default_rng(8)
+    rows = [(int(i), (rng.normal(size=20) * rng.choice([1.0, 1.0, 1.0, 90.0])).tolist()) for i in range(400)]  # two and four bytes a component
+    rows += [(500 + i, [0.0] * 20) for i in range(60)] + [(50, rows[3][1]), (50, rows[4][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, K.top_k(df, every=10).collect())) == by_hand(rows, every=10)
+    assert sorted(map(tuple, K.top_k(df.where("vec_id < 3"), every=10).collect())) == by_hand(rows[:3], every=10)

@@ -2,10 +2,12 @@
 
 Vectors are dealt into bands by descending length and packed into blocks. A first look at
 the longest ones gives each query a score that its k-th best cannot fall below; a query only
-meets bands whose longest vector could still reach it. Where block and query meet, both are
-rotated to the singular directions of a sample, the leading coordinates are multiplied, and
-the Cauchy-Schwarz bound of the rest prunes; what remains is scored in whole numbers. The
-rotation only decides how early pruning works, never the result.
+meets bands whose longest vector could still reach it. Bands are met in rounds, each of more
+bands than the one before, and what a round finds raises that score for the next; once no
+query can gain from the next band, none can from any behind it. Where block and query meet,
+both are rotated to the singular directions of a sample, the leading coordinates are
+multiplied, and the Cauchy-Schwarz bound of the rest prunes; what remains is scored in whole
+numbers. The rotation only decides how early pruning works, never the result.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no
 part; of vectors of unequal length the missing components count as 0; repeated rows are rows
@@ -28,6 +30,10 @@ from weftgraph.llm.common import cut, table
 K, EVERY = 5, 50
 #: Rows of a block of vectors, of a block of queries, and of the first look.
 BLOCK, QUERIES, FIRST = 8192, 1024, 4096
+#: Bands of the first round, and how many times more each round meets than the one before.
+ROUND, GROWTH = 4, 8
+#: Query blocks that meet a block of vectors in one task, about.
+TOGETHER = 64
 #: Vectors that the rotation is fitted on, about, and the leading coordinates.
 SAMPLE, LEADING = 20_000, 16
 LARGEST = 2.0**53
@@ -117,12 +123,22 @@ def meet(q: np.ndarray, q_rows: np.ndarray, least: np.ndarray, v: np.ndarray, v_
         yield live[i], places[top], scores[top]
 
 
+def rounds(bands: int) -> Iterator[tuple[int, int]]:
+    """The bands of each round, as (from, to)."""
+    low, size = 0, ROUND
+    while low < bands:
+        yield low, min(low + size, bands)
+        low, size = low + size, size * GROWTH
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of every row whose id is divisible by ``every``, against all other rows."""
     spark = vectors.sparkSession
     rows = cut(quantised(vectors, key, vector))
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.length("packed")).alias("bytes")).first()
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.length("packed")).alias("bytes"), F.max("norm").alias("norm")).first()
     count, width = facts["n"], (facts["bytes"] or 8) // 8
+    # no component is larger than the longest vector; what is shuffled has no more bytes than that needs
+    kind = next(t for t, most in (("<i2", 1 << 15), ("<i4", 1 << 31), ("<i8", np.inf)) if (facts["norm"] or 0) * (1 + 1e-9) < most - 1)
     sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(count, 1)) * (1 << 30))).select("packed").toArrow()
     turn = rotation(unpacked(sample["packed"].to_pylist(), width)) if sample.num_rows else np.eye(width)
     first = rows.orderBy(F.desc("norm"), "vec_id", "row").limit(FIRST).select("row", "vec_id", "packed").toArrow()
@@ -137,7 +153,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_id
                 part = batch.slice(low, BLOCK)
                 yield pa.RecordBatch.from_pydict({
                     "band": part["band"].slice(0, 1), "norm": part["norm"].slice(0, 1), "v_rows": pa.array([part["row"].to_numpy().tobytes()], pa.binary()),
-                    "v_ids": pa.array([part["vec_id"].to_numpy().tobytes()], pa.binary()), "v": pa.array([unpacked(part["packed"].to_pylist(), width).tobytes()], pa.binary()),
+                    "v_ids": pa.array([part["vec_id"].to_numpy().tobytes()], pa.binary()), "v": pa.array([unpacked(part["packed"].to_pylist(), width).astype(kind).tobytes()], pa.binary()),
                 })
 
     blocks = cut(banded.mapInArrow(pack, "band int, norm double, v_rows binary, v_ids binary, v binary"))
@@ -156,41 +172,54 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_id
                     own = scores[i][f_rows != q_rows[i]]
                     if len(own) >= k:
                         least[i] = np.partition(own, len(own) - k)[len(own) - k]
-                # the shortest vector that can still matter: no band below it need be met
-                need = np.where(norms > 0, least / np.where(norms > 0, norms, 1), -np.inf)
-                yield pa.RecordBatch.from_pydict({"row": part["row"], "vec_id": part["vec_id"], "packed": part["packed"], "least": pa.array(least), "need": pa.array(need)})
+                yield pa.RecordBatch.from_pydict({"row": part["row"], "vec_id": part["vec_id"], "norm": part["norm"], "packed": part["packed"], "least": pa.array(least)})
 
-    asked = rows.where(F.col("vec_id") % every == 0)
-    looked = asked.mapInArrow(look, "row long, vec_id long, packed binary, least double, need double")
+    asked = cut(rows.where(F.col("vec_id") % every == 0).mapInArrow(look, "row long, vec_id long, norm double, packed binary, least double"))
     ways = max(1, -(-count // every // QUERIES))
-    ordered = looked.repartitionByRange(ways, "need", "row").sortWithinPartitions("need", "row")
+    deals = max(1, -(-ways // TOGETHER))
 
-    def group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, QUERIES):
-                part = batch.slice(low, QUERIES)
-                need = part["need"].to_numpy().min() * (1 - 1e-9) - 1
-                met = [b for b, limit in zip(names, limits, strict=True) if limit >= need]
-                one = {"q_rows": part["row"].to_numpy().tobytes(), "q_ids": part["vec_id"].to_numpy().tobytes(), "q": unpacked(part["packed"].to_pylist(), width).tobytes(), "least": part["least"].to_numpy().tobytes()}
-                yield pa.RecordBatch.from_pydict({"band": pa.array(met, pa.int32())} | {n: pa.array([v] * len(met), pa.binary()) for n, v in one.items()})
+    def grouping(low: int, high: int):
+        def group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, QUERIES):
+                    part = batch.slice(at, QUERIES)
+                    need = part["need"].to_numpy().min()
+                    met = [b for b, limit in zip(names[low:high], limits[low:high], strict=True) if limit >= need]
+                    one = {"q_rows": part["row"].to_numpy().tobytes(), "q_ids": part["vec_id"].to_numpy().tobytes(), "q": unpacked(part["packed"].to_pylist(), width).astype(kind).tobytes(), "least": part["least"].to_numpy().tobytes()}
+                    deal = part["deal"][0].as_py() % deals
+                    yield pa.RecordBatch.from_pydict({"band": pa.array(met, pa.int32()), "deal": pa.array([deal] * len(met), pa.int32())} | {n: pa.array([v] * len(met), pa.binary()) for n, v in one.items()})
 
-    questions = ordered.mapInArrow(group, "band int, q_rows binary, q_ids binary, q binary, least binary")
+        return group
 
     def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(4)]
             for r in batch.to_pylist():
-                q, v = (np.frombuffer(r[c], "<i8").reshape(-1, width) for c in ("q", "v"))
+                q, v = (np.frombuffer(r[c], kind).astype(np.int64).reshape(-1, width) for c in ("q", "v"))
                 q_rows, q_ids, v_rows, v_ids = (np.frombuffer(r[c], np.int64) for c in ("q_rows", "q_ids", "v_rows", "v_ids"))
                 for i, places, scores in meet(q, q_rows, np.frombuffer(r["least"], np.float64), v, v_rows, v_ids, shared.value[0], k):
                     for c, x in zip(out, (np.full(len(places), q_rows[i]), np.full(len(places), q_ids[i]), v_ids[places], scores), strict=True):
                         c.append(x)
             yield pa.RecordBatch.from_pydict({n: pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for n, c in zip(("row", "query_id", "vec_id", "score"), out, strict=True)})
 
-    met = questions.join(blocks, "band").select("q_rows", "q_ids", "q", "least", "v_rows", "v_ids", "v")
-    found = met.mapInArrow(answer, "row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = spark.createDataFrame([], "row long, query_id long, vec_id long, score long, rank int")
+    for low, high in rounds(len(names)):
+        reached = found.where(F.col("rank") == k).select("row", F.col("score").cast("double").alias("reached"))
+        raised = asked.join(reached, "row", "left").withColumn("least", F.greatest("least", "reached")).drop("reached") if low else asked
+        # the shortest vector that can still matter: no band below it need be met
+        need = F.when(F.col("norm") > 0, F.col("least") / F.col("norm") * F.when(F.col("least") > 0, 1 - 1e-9).otherwise(1.0) - 1).otherwise(float("-inf"))
+        live = cut(raised.withColumn("need", need).where(F.col("need") <= float(limits[low])))
+        if live.isEmpty():
+            break
+        ordered = live.repartitionByRange(ways, "need", "row").sortWithinPartitions("need", "row").withColumn("deal", F.spark_partition_id())
+        questions = ordered.mapInArrow(grouping(low, high), "band int, deal int, q_rows binary, q_ids binary, q binary, least binary")
+        # a block of vectors goes once to each of the tasks that share its band's query blocks
+        dealt = blocks.where(F.col("band").between(names[low], names[high - 1])).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+        met = questions.join(dealt, ["band", "deal"]).select("q_rows", "q_ids", "q", "least", "v_rows", "v_ids", "v")
+        better = met.mapInArrow(answer, "row long, query_id long, vec_id long, score long").union(found.drop("rank"))
+        found = cut(better.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op7_topk_search(spark, sf_dir):
