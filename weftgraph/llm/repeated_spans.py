@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import column, cut, table
+from weftgraph.llm.common import column, cut, settled, table
 
 LENGTH = 100
 GRAM = 32
@@ -455,10 +455,10 @@ def remove(docs: DataFrame, found: DataFrame, keep_text: bool = False) -> DataFr
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row a document."""
     sealed = _sealed(docs, key, text)
-    state = cut(judged(run_rows(sealed, common_anchors(sealed))))
+    state = settled(judged(run_rows(sealed, common_anchors(sealed))))
     contexts = contexts_of(sealed, state.where(F.col("state") != SETTLED))
     dealt = contexts.withColumn("deal", F.when(F.col("state") == PLAIN, F.col("anchor")).otherwise(F.xxhash64("seal", "start"))).repartition("deal")
-    open_ = cut(dealt.drop("deal"))
+    open_ = settled(dealt.drop("deal"))
     plain = open_.where(F.col("state") == PLAIN).sortWithinPartitions("anchor").mapInArrow(_blocks, "ord long, seal long, start int, n int")
     found = state.where(F.col("state") == SETTLED).select("ord", "seal", "start", "n").union(plain).union(spread_starts(open_.where(F.col("state") == SPREAD)))
     return remove(sealed, found, keep_text)
