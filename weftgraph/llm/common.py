@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def settled(df: DataFrame) -> DataFrame:
     """``cut``, after which the driver lets go of what led to it: Spark removes shuffle files once nothing names them."""
-    kept = cut(df)
-    df.sparkSession._jvm.System.gc()
+    spark, kept = df.sparkSession, cut(df)
+    # a frame that only this call still holds keeps its plan's shuffles: Python lets go first, then the JVM
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
     return kept
 
 
